@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, piece_codec, quality_rules, simhash, token_counts
+from . import chunk_dedup, packing, piece_codec, quality_rules, simhash, token_counts
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.dedup_substrings(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -36,6 +40,6 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality_rules, op3_pack_sequences, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chunk_dedup, op2_quality_rules, op3_pack_sequences, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates)}
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE}

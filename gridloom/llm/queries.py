@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, packing, piece_codec, quality_rules, secret_scan, simhash, token_counts
+from . import chunk_dedup, packing, parse_fingerprints, piece_codec, quality_rules, secret_scan, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -32,6 +32,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op5_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.external_shuffle(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def op6_parse_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(piece_codec.encode(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model")))
 
@@ -44,6 +52,6 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chunk_dedup, op2_quality_rules, op3_pack_sequences, op4_secret_scan, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chunk_dedup, op2_quality_rules, op3_pack_sequences, op4_secret_scan, op5_external_shuffle, op6_parse_fingerprints, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates)}
 
 ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op4_secret_scan": secret_scan.ORACLE}

@@ -100,13 +100,29 @@ class PieceBPE:
             text = data[at[i] : at[i + 1]].tobytes()
             if len(said) and self.kinds[said[0]] == 1 and text[:1] == b" ":
                 text = text[1:]
+            inner = self.kinds[row[1:-1]] == 3
             try:
                 text.decode()
             except UnicodeDecodeError:
-                text = _each_bad_byte(text)
-            out.append(text)
+                inner = True
+            out.append(self._decode_runs(row, text[:0]) if np.any(inner) else text)
         return out
 
+    def _decode_runs(self, row: np.ndarray, done: bytes) -> bytes:
+        """The same for ids that no text has: byte pieces are read run by run, and other ids end a run."""
+        first, run = True, b""
+        for i in [*row.tolist(), -1]:
+            if i >= 0 and self.kinds[i] == 6:
+                run += self.surface[self.surface_start[i] : self.surface_start[i] + 1].tobytes()
+                first = False
+                continue
+            done, run = done + _each_bad_byte(run), b""
+            if i >= 0 and self.kinds[i] != 3:
+                piece = self.surface[self.surface_start[i] : self.surface_start[i + 1]].tobytes()
+                done += piece[1:] if first and piece[:1] == b" " and self.kinds[i] == 1 else piece
+                first = False
+        return done
+
 
 def _each_bad_byte(data: bytes) -> bytes:
     out, i = [], 0

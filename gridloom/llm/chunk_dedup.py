@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .arrays import BLOCK_CHARS, U64, mix
+from .arrays import BLOCK_CHARS, U64, mix, ragged
+from .common import with_package
 
 #: Units (words, or pieces of words over LONG bytes) to each side among which a cut has the largest hash.
 REACH = 3
 LONG = 64
+#: Units in a chunk, at most: where no hash stands out, as in one word said over and over, every MOST-th unit ends a chunk.
+MOST = 32
 #: Shortest run of repeated chunks, in characters, that is cut out.
 MIN_CHARS = 100
 
@@ -87,6 +90,12 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     cut[-1] = True
     cut[:-1] |= owner[1:] != owner[:-1]
     final = np.flatnonzero(cut)
+    units = np.diff(final, prepend=-1)
+    wide = units > MOST
+    if wide.any():
+        more = (units[wide] - 1) // MOST
+        step = ragged(np.zeros(len(more), np.int64), more)
+        final = np.sort(np.concatenate([final, np.repeat(final[wide] - units[wide], more) + MOST * (step + 1)]))
     first = np.concatenate([[0], final[:-1] + 1])
     digest = np.fromiter(map(xxhash.xxh3_64_intdigest, map(joined.__getitem__, map(slice, starts[first].tolist(), stops[final].tolist()))), U64, len(first)).view(np.int64)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
@@ -115,7 +124,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                     at, n = k, 0
                 n += size
 
-    return docs.select("doc_id", _tag(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "digest long, doc_id long, tag int, span long")
+    return with_package(docs).select("doc_id", _tag(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "digest long, doc_id long, tag int, span long")
 
 
 def _tag():

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import weakref
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,6 +25,26 @@ def text_or_empty(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
+
+
+def with_package(df: DataFrame) -> DataFrame:
+    """``df``, after this package has been sent to the executors' Python workers, once a context."""
+    context = df.sparkSession.sparkContext
+    if context not in _SHIPPED:
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        if os.path.isdir(top):
+            to = os.path.join(tempfile.mkdtemp(prefix="gridloom-package-"), "gridloom.zip")
+            with zipfile.ZipFile(to, "w") as z:
+                for folder, _, names in os.walk(top):
+                    for n in names:
+                        if n.endswith(".py"):
+                            z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(top)))
+            context.addPyFile(to)
+        _SHIPPED.add(context)
+    return df
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's own folder if it names one, else (tests) a temporary one."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -63,4 +86,4 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], Iterator[d
         out = work(ids, texts)
         return pa.RecordBatch.from_arrays([pa.array(out[n]) if not isinstance(out[n], pa.Array) else out[n] for n in names], names=names)
 
-    return df.select("doc_id", "text").mapInArrow(run, schema)
+    return with_package(df).select("doc_id", "text").mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, with_package
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 Piece = tuple[int | None, int, int, np.ndarray]  # doc_id, start, doc_tokens, ids
@@ -151,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0)
         packer.finish()
         yield rows()
 
-    return text_or_empty(docs, "doc_id").mapInArrow(run, SCHEMA)
+    return text_or_empty(with_package(docs), "doc_id").mapInArrow(run, SCHEMA)
 
 
 def digests(packed: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .arrays import BLOCK_CHARS, U64, code_points, mix, span_hash
+from .common import text_or_empty, with_package
 
 #: Phrases from this level on (about 20 characters) are sampled; the root of a shorter text always is.
 FLOOR = 3
@@ -123,7 +124,7 @@ def fingerprint_documents(docs: DataFrame, part_bytes: int = PART_BYTES) -> Data
     table; the row a range starts with goes to the range before too, as the
     next of its last.  Each text is shuffled once.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = text_or_empty(with_package(docs), "doc_id")
     grid = [i / 4096 for i in range(1, 4096)]
     size, least, cuts = own.agg(F.sum(F.octet_length("text") + 64), F.min("doc_id"), F.percentile_approx("doc_id", grid, 20_000)).first()
     parts = max(1, min(MOST_PARTS, len(grid) + 1, -(-int(size or 0) // part_bytes)))

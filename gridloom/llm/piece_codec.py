@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrays import offsets
-from .common import map_rows, text_or_empty
+from .common import map_rows, text_or_empty, with_package
 
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -53,4 +53,4 @@ def digests(encoded: DataFrame) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return encoded.mapInArrow(run, DIGESTS)
+    return with_package(encoded).mapInArrow(run, DIGESTS)

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, mix, span_hash
-from .common import map_rows, text_or_empty
+from .arrays import U64, blocks, mix, span_hash
+from .common import map_rows, text_or_empty, with_package
 
 #: Bounds of the fitted sample (expected rows; the hash draws them within a few per cent).
 MOST_POSITIVE, MOST_UNLABELLED = 12_000, 24_000
@@ -212,13 +212,8 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            kept, at, chars = [], 0, 0
-            for k, t in enumerate([*texts, None]):
-                if k > at and (t is None or chars + len(t) > 400_000):
-                    kept.append(model.score(features(texts[at:k])) >= THRESHOLD)
-                    at, chars = k, 0
-                chars += len(t or "")
+            texts = (t.as_py() for t in b.column("text"))
+            kept = [model.score(features(some)) >= THRESHOLD for some in blocks(texts)]
             yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return with_package(docs).mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed
+from .common import checkpointed, with_package
 
 #: Bytes of text in a bucket; a task holds one bucket and its shuffled copy.
 BUCKET_BYTES = 16 << 20
@@ -42,7 +42,7 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_by
     repeat both doc_id and text share a bucket (they are told apart by their
     other columns, or not at all); an empty table gives none.
     """
-    own = docs.drop(*ADDED, "_order", "_before")
+    own = with_package(docs).drop(*ADDED, "_order", "_before")
     text = F.coalesce(F.col("text"), F.lit(""))
     scatter = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
     total = own.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, text_or_empty
+from .common import checkpointed, map_rows, text_or_empty, with_package
 from .components import components
 
 #: Seed of the shingle hash.
@@ -99,7 +99,7 @@ def links(distinct: DataFrame, most: int = 4, blocks: int | None = None, bucket:
     """(a, b) edges whose components are those of all pairs of ``distinct`` (bits) within ``most`` bits."""
     blocks = blocks or blocks_for(distinct.count(), most)
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks, most))))
-    keyed = distinct.select("bits", F.explode(keys).alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    keyed = with_package(distinct).select("bits", F.explode(keys).alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     parts = F.ceil(F.col("n") / bucket)
     own = F.pmod(F.xxhash64("bits", F.lit("part")), parts)
     dealt = (

@@ -81,14 +81,17 @@ def describe_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(_table(spark, sf_dir, "embeddings"))
 
 
-@query("""SELECT column_name, CASE WHEN regexp_matches(lower(column_type), 'int|double|float') THEN 'numeric' WHEN regexp_matches(lower(column_type), 'string|varchar') THEN 'text'
-  WHEN regexp_matches(lower(column_type), 'date|timestamp') THEN 'temporal' WHEN regexp_matches(lower(column_type), 'bool') THEN 'boolean' ELSE 'other' END AS type_class FROM (DESCRIBE SELECT * FROM lineitem)""")
+_CLASS = """CASE WHEN regexp_matches(lower(column_type), 'int|double|float') THEN 'numeric' WHEN regexp_matches(lower(column_type), 'string|varchar') THEN 'text'
+  WHEN regexp_matches(lower(column_type), 'date|timestamp') THEN 'temporal' WHEN regexp_matches(lower(column_type), 'bool') THEN 'boolean' ELSE 'other' END"""
+
+
+@query(f"SELECT column_name, {_CLASS} AS type_class FROM (DESCRIBE SELECT * FROM lineitem)")
 def type_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(_table(spark, sf_dir, "lineitem")).select("column_name", type_class(F.col("column_type")).alias("type_class"))
 
 
-@query("""SELECT 'customer.parquet' AS line UNION ALL SELECT format('{:,} rows', count(*)) FROM customer UNION ALL SELECT count(*) || ' columns' FROM (DESCRIBE SELECT * FROM customer)
-  UNION ALL SELECT column_name || ' (' || column_type || ')' FROM (DESCRIBE SELECT * FROM customer)""")
+@query(f"""SELECT 'customer.parquet' AS line UNION ALL SELECT format('{{:,}} rows', count(*)) FROM customer UNION ALL SELECT count(*) || ' columns' FROM (DESCRIBE SELECT * FROM customer)
+  UNION ALL SELECT '[' || {_CLASS} || '] ' || column_name || ' (' || column_type || ')' FROM (DESCRIBE SELECT * FROM customer)""")
 def schema_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/customer.parquet"
     return spark.createDataFrame([(x,) for x in file_info(scan(spark, path), path).panel()], "line string")

@@ -131,14 +131,22 @@ class Workbook:
         self.path = None
 
     def copy_cell(self, row: int, name: str, header: bool = False) -> str:
-        return export.cell(self.data(), self.row_number, row, name, header)
+        said = export.cell(self.data(), self.row_number, row, name, header)
+        self.message = "Copied 1 cell"
+        return said
 
     def copy_cells(self, rows: Iterable[int], names: Sequence[str], delimiter: str = "\t", headers: bool = False, newline: str = "\n") -> export.Export:
-        return export.cells(self.view(), self.row_number, rows, names, delimiter, headers, newline)
+        rows, out = list(rows), self.view()
+        self.message = f"Copied {len(set(rows)) * len(set(names)):,} cells"
+        return export.cells(out, self.row_number, rows, names, delimiter, headers, newline)
 
     def copy_rows(self, rows: Iterable[int], headers: bool = False, visible: Sequence[str] | None = None) -> export.Export:
-        return export.rows(self.view(), self.row_number, rows, visible, headers)
+        rows, out = list(rows), self.view()
+        self.message = f"Copied {len(set(rows)):,} rows"
+        return export.rows(out, self.row_number, rows, visible, headers)
 
     def copy_columns(self, names: Sequence[str], headers: bool = False) -> export.Export:
         """The named columns of every row of the current view, in its order."""
-        return export.columns(self.view(), names, headers)
+        out = self.view()
+        self.message = f"Copied {len(set(names)):,} columns"
+        return export.columns(out, names, headers)

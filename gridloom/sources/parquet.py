@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import column, describe, fresh_name
+from ..functions.names import column, describe, fresh_name, type_class
 
 ROW_NUMBER = "row_number"
 #: File offsets are sent to every executor up to this many files; beyond it they are joined by shuffle.
@@ -74,8 +74,8 @@ class FileInfo:
         return os.path.basename(self.path.replace("\\", "/").rstrip("/"))
 
     def panel(self) -> list[str]:
-        """Lines of a schema panel: name, rows, columns, then each column with its type."""
-        return [self.name, f"{self.rows:,} rows", f"{len(self.columns)} columns", *(f"{n} ({t})" for n, t, _ in self.columns)]
+        """Lines of a schema panel: name, rows, columns, then each column with its class and type."""
+        return [self.name, f"{self.rows:,} rows", f"{len(self.columns)} columns", *(f"[{type_class(t)}] {n} ({t})" for n, t, _ in self.columns)]
 
     def type_of(self, name: str) -> str:
         return next((t for n, t, _ in self.columns if n == name), "unknown")

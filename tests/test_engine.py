@@ -222,6 +222,7 @@ def test_workbook_states(spark, tmp_path):
     book.load_recent(1)
     assert book.path == a and book.copy_cell(2, "id", header=True) == "id\n1"
     assert book.copy_rows([3, 1], headers=True).text() == "#\tid\n1\t0\n3\t2\n"
+    assert book.message == "Copied 2 rows" and book.info().panel() == ["a.parquet", "3 rows", "1 columns", "[numeric] id (BIGINT)"] and book.info().type_of("x") == "unknown"
     with pytest.raises(LookupError):
         book.copy_cell(50, "id")
     book.edit(1, "id", 9)

@@ -16,7 +16,7 @@ import pandas as pd
 
 U64 = np.uint64
 #: Characters in a block, unless a single text is longer.
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 250_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _NONE = np.iinfo(np.int32).max
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .arrays import BLOCK_CHARS, U64, mix, ragged
-from .common import with_package
+from .common import released, with_package
 
 #: Units (words, or pieces of words over LONG bytes) to each side among which a cut has the largest hash.
 REACH = 3
@@ -123,6 +123,7 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(digest), ids.take(where), tags.take(where), pa.array(start << 32 | stop)], names=["digest", "doc_id", "tag", "span"])
                     at, n = k, 0
                 n += size
+        released()
 
     return with_package(docs).select("doc_id", _tag(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "digest long, doc_id long, tag int, span long")
 

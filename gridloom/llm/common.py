@@ -28,8 +28,15 @@ def text_or_empty(df: DataFrame, *cols: str) -> DataFrame:
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 
+#: Bytes in an Arrow batch, unless the session sets its own bound: Spark's counts rows, and texts can be long.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def with_package(df: DataFrame) -> DataFrame:
-    """``df``, after this package has been sent to the executors' Python workers, once a context."""
+    """``df``, ready for Python workers: batches are bounded in bytes, and this package is sent to the executors, once a context."""
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(_BATCH):
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
     context = df.sparkSession.sparkContext
     if context not in _SHIPPED:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -45,6 +52,19 @@ def with_package(df: DataFrame) -> DataFrame:
     return df
 
 
+def released() -> None:
+    """Give a finished task's memory back: workers are kept for later tasks, beside other executors' processes."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own counsel
+
+
 def shared_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the cluster's own folder if it names one, else (tests) a temporary one."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -81,6 +101,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], Iterator[d
                 n += len(t)
             if held:
                 yield block(work, ids[at:], held)
+        released()
 
     def block(work, ids: list, texts: list[str]) -> pa.RecordBatch:
         out = work(ids, texts)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, with_package
+from .common import released, text_or_empty, with_package
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 Piece = tuple[int | None, int, int, np.ndarray]  # doc_id, start, doc_tokens, ids
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0)
                 yield block(held_ids, held)
         packer.finish()
         yield rows()
+        released()
 
     return text_or_empty(with_package(docs), "doc_id").mapInArrow(run, SCHEMA)
 

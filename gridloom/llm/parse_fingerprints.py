@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .arrays import BLOCK_CHARS, U64, code_points, mix, span_hash
-from .common import text_or_empty, with_package
+from .common import released, text_or_empty, with_package
 
 #: Phrases from this level on (about 20 characters) are sampled; the root of a shorter text always is.
 FLOOR = 3
@@ -177,3 +177,4 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if chars >= BLOCK_CHARS and len(ids) > 1:
                 chars = len(texts[-1])
                 yield finish(None)
+    released()

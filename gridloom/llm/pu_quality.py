@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, blocks, mix, span_hash
-from .common import map_rows, text_or_empty, with_package
+from .common import map_rows, released, text_or_empty, with_package
 
 #: Bounds of the fitted sample (expected rows; the hash draws them within a few per cent).
 MOST_POSITIVE, MOST_UNLABELLED = 12_000, 24_000
@@ -215,5 +215,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
             texts = (t.as_py() for t in b.column("text"))
             kept = [model.score(features(some)) >= THRESHOLD for some in blocks(texts)]
             yield b.filter(pa.array(np.concatenate([np.zeros(0, bool), *kept])))
+        released()
 
     return with_package(docs).mapInArrow(run, docs.schema)

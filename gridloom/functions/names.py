@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.local import local_table
+
 # Display names of the plain types.
 _DISPLAY = {
     "bigint": "BIGINT",
@@ -72,4 +75,4 @@ def type_class(name: str | Column) -> str | Column:
 def describe(df: DataFrame) -> DataFrame:
     """(column_name, column_type, nullable) for each column of ``df``; only the schema is looked at."""
     rows = [(f.name, type_name(f.dataType), f.nullable) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column_name string, column_type string, nullable boolean")
+    return local_table(df.sparkSession, [("column_name", pa.string()), ("column_type", pa.string()), ("nullable", pa.bool_())], rows)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import column, fresh_name
+from ..sources.local import local_table
 
 #: Edited rows are sent to every executor up to this many; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 100_000
@@ -59,7 +61,7 @@ def overlay(df: DataFrame, log: EditLog) -> DataFrame:
         return df
     edited = {c for cells in log.cells.values() for c in cells}
     at, said = fresh_name(df.columns, "_row"), fresh_name(df.columns, "_said")
-    rows = df.sparkSession.createDataFrame(list(log.cells.items()), f"{at} bigint, {said} map<string,string>")
+    rows = local_table(df.sparkSession, [(at, pa.int64()), (said, pa.map_(pa.string(), pa.string()))], [(row, list(cells.items())) for row, cells in log.cells.items()])
     if len(log.cells) <= BROADCAST_ROWS:
         rows = F.broadcast(rows)
     kinds = {f.name: f.dataType for f in df.schema.fields}

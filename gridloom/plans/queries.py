@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..operators import export, sink
 from ..operators.edits import EditLog, overlay
 from ..operators.ordering import page, sorted_by
 from ..operators.predicates import matching
+from ..sources.local import local_table
 from ..sources.parquet import file_info, numbered, row_count, scan
 from ..sources.recents import most_recent
 from ..sources.scratch import scratch
@@ -94,7 +96,7 @@ def type_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT '[' || {_CLASS} || '] ' || column_name || ' (' || column_type || ')' FROM (DESCRIBE SELECT * FROM customer)""")
 def schema_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/customer.parquet"
-    return spark.createDataFrame([(x,) for x in file_info(scan(spark, path), path).panel()], "line string")
+    return local_table(spark, [("line", pa.string())], [(x,) for x in file_info(scan(spark, path), path).panel()])
 
 
 @query("SELECT * FROM lineitem WHERE contains(lower(CAST(l_extendedprice AS VARCHAR)), '99')")

@@ -35,7 +35,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(literal_path(path))
 
 
-def with_row_numbers(df: DataFrame, name: str = ROW_NUMBER, several: bool | None = None) -> DataFrame:
+def with_row_numbers(df: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
     """A fresh Parquet scan with its rows numbered from 1 in stored order, first column.
 
     One file needs its own row index only, a narrow projection.  Several files
@@ -43,14 +43,12 @@ def with_row_numbers(df: DataFrame, name: str = ROW_NUMBER, several: bool | None
     and each file's rows start after those of the files before it; rows are
     not shuffled, and no window runs over them.
     """
-    cols = [column(c) for c in df.columns]
-    if several is None:
-        several = len(df.inputFiles()) > 1
-    if not several:
+    cols, files = [column(c) for c in df.columns], len(df.inputFiles())
+    if files <= 1:
         return df.select((F.col("_metadata.row_index") + 1).alias(name), *cols)
     counts = df.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("_n"))
     before = counts.select("_path", F.coalesce(F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    if len(df.inputFiles()) <= BROADCAST_FILES:
+    if files <= BROADCAST_FILES:
         before = F.broadcast(before)
     own = df.select(F.col("_metadata.file_path").alias("_at"), F.col("_metadata.row_index").alias("_index"), *cols)
     return own.join(before, own["_at"] == before["_path"]).select((F.col("_before") + F.col("_index") + 1).alias(name), *cols)

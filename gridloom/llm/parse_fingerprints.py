@@ -125,10 +125,10 @@ def fingerprint_documents(docs: DataFrame, part_bytes: int = PART_BYTES) -> Data
     next of its last.  Each text is shuffled once.
     """
     own = text_or_empty(with_package(docs), "doc_id")
-    grid = [i / 4096 for i in range(1, 4096)]
-    size, least, cuts = own.agg(F.sum(F.octet_length("text") + 64), F.min("doc_id"), F.percentile_approx("doc_id", grid, 20_000)).first()
-    parts = max(1, min(MOST_PARTS, len(grid) + 1, -(-int(size or 0) // part_bytes)))
-    starts = [] if least is None else sorted({least, *(cuts[round(len(grid) * i / parts) - 1] for i in range(1, parts) if round(len(grid) * i / parts))})
+    size, least = own.agg(F.sum(F.octet_length("text") + 64), F.min("doc_id")).first()
+    parts = max(1, min(MOST_PARTS, -(-int(size or 0) // part_bytes)))
+    cuts = [] if least is None or parts == 1 else own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * max(parts, 1000))).first()[0]
+    starts = [] if least is None else sorted({least, *cuts})
     bounds = np.array(starts, np.int64)
 
     def part_of(ids: pd.Series) -> pd.Series:

@@ -133,8 +133,12 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def _oracle() -> str:
     sizes = sorted({*NGRAM_PERCENT, WINDOW})
-    grams = ", ".join(f"CASE WHEN i + {n - 1} <= n THEN array_to_string(ws[i:i + {n - 1}], ' ') END AS g{n}" for n in sizes)
-    twice = ", ".join(f"CASE WHEN g{n} IS NOT NULL THEN count(*) OVER (PARTITION BY doc_id, g{n}) > 1 ELSE FALSE END AS d{n}" for n in sizes)
+    # a gram's number in its text, from the number of the gram one shorter and the word after that
+    chain = "".join(
+        f"k{n} AS (SELECT * EXCLUDE (nxt), dense_rank() OVER (PARTITION BY doc_id ORDER BY g{n - 1}, nxt) AS g{n} FROM (SELECT *, lead(g1, {n - 1}) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM k{n - 1})),\n"
+        for n in range(2, max(sizes) + 1)
+    )
+    twice = ", ".join(f"i + {n - 1} <= n AND count(*) OVER (PARTITION BY doc_id, g{n}, i + {n - 1} <= n) > 1 AS d{n}" for n in sizes)
     inside = ", ".join(f"max(CAST(d{n} AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS c{n}" for n in sizes)
     sums = ", ".join(f"sum(CASE WHEN c{n} = 1 THEN length(w) ELSE 0 END) AS dup_{n}gram_chars" for n in NGRAM_PERCENT)
     rules = " AND ".join(f"100 * dup_{n}gram_chars <= {p} * word_chars" for n, p in NGRAM_PERCENT.items())
@@ -142,9 +146,9 @@ def _oracle() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
-w AS (SELECT doc_id, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i FROM s),
-g AS (SELECT doc_id, i, ws[i] AS w, {grams} FROM w),
-t AS (SELECT doc_id, i, w, {twice} FROM g),
+w AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w FROM s),
+k1 AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY w) AS g1 FROM w),
+{chain}t AS (SELECT doc_id, i, w, {twice} FROM k{max(sizes)}),
 c AS (SELECT doc_id, w, {inside} FROM t),
 r AS (SELECT doc_id, sum(length(w)) AS word_chars, sum(c{WINDOW}) AS n_repeat_words, {sums} FROM c GROUP BY doc_id),
 l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d),

@@ -20,6 +20,8 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): bytes, tokens, and whether they exceed ``limit``.
 
+    ``tokenizer`` is the path of a byte-level BPE in a tokenizers .json file,
+    or of a SentencePiece BPE .model; begin and end ids are not counted.
     Null and empty texts have 0 bytes and tokens; a null doc_id is kept;
     repeated rows count each; an empty table gives an empty result; columns
     other than doc_id and text are not read.  Texts are whole at any length.
@@ -28,10 +30,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame
     def make():
         from .byte_bpe import byte_bpe
 
-        bpe = byte_bpe(tokenizer)
+        from .piece_bpe import piece_bpe
+
+        pieces = tokenizer.endswith(".model")
+        bpe = piece_bpe(tokenizer) if pieces else byte_bpe(tokenizer)
 
         def work(ids, texts):
-            n = bpe.counts(texts)
+            n = bpe.encode(texts)[1] - 2 if pieces else bpe.counts(texts)
             return {"doc_id": pa.array(ids, pa.int64()), "n_bytes": np.array([len(t.encode()) for t in texts], np.int64), "n_tokens": n, "over_limit": n > limit}
 
         return work

@@ -448,6 +448,11 @@ def test_token_counts(docs, held):
         (r,) = got[i]
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 512)
     assert token_counts.count_tokens(empty(docs), BYTES).collect() == []
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = by_id(token_counts.count_tokens(docs, PIECES).collect())
+    assert all(got[i][0].n_tokens == len(lib.encode(t)) for i, t in held)
 
 
 # --- 9 -----------------------------------------------------------------------------------------------------------------

@@ -34,6 +34,7 @@ KINDS = ("assign", "access", "hex", "secret", "user", "endpoint")
 
 
 def _none() -> Column:
+    """No spans."""
     return F.array().cast("array<struct<start:int,kind:int,stop:int>>")
 
 
@@ -41,20 +42,16 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, stop>> of the leftmost non-overlapping matches, in code points; ``keep`` filters by the matched string."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     # a running end: each match starts after what came before it and the text between
-    empty = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
+    empty = _none()
     pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))
-    starts = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + F.char_length(p["b"]) + F.char_length(p["m"])).alias("at"),
-            (
-                F.when(keep(p["m"]), F.array_append(s["spans"], F.struct((s["at"] + F.char_length(p["b"])).alias("start"), F.lit(kind).alias("kind"), (s["at"] + F.char_length(p["b"]) + F.char_length(p["m"])).alias("stop")))).otherwise(s["spans"])
-                if keep
-                else F.array_append(s["spans"], F.struct((s["at"] + F.char_length(p["b"])).alias("start"), F.lit(kind).alias("kind"), (s["at"] + F.char_length(p["b"]) + F.char_length(p["m"])).alias("stop")))
-            ).alias("spans"),
-        ),
-    )["spans"]
+
+    def step(state: Column, pair: Column) -> Column:
+        start = state["at"] + F.char_length(pair["b"])
+        stop = start + F.char_length(pair["m"])
+        more = F.array_append(state["spans"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
+        return F.struct(stop.alias("at"), (F.when(keep(pair["m"]), more).otherwise(state["spans"]) if keep else more).alias("spans"))
+
+    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
     return F.when(text.rlike(pattern), starts).otherwise(empty)
 
 
@@ -101,7 +98,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     spans = complete.groupBy("key").agg(F.array_distinct(F.concat(F.collect_list("s"), F.filter(F.flatten(F.collect_list("ps")), lambda s: s["kind"] > 3))).alias("linked"))
     spans = spans.select(F.col("key.doc_id").alias("_doc"), F.col("key.tag").alias("_tag"), "linked")
     return found.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select(
-        "doc_id", F.array_sort("base").alias("base"), F.coalesce("linked", F.array().cast("array<struct<start:int,kind:int,stop:int>>")).alias("linked"), "tag"
+        "doc_id", F.array_sort("base").alias("base"), F.coalesce("linked", _none()).alias("linked"), "tag"
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -16,6 +17,19 @@ from ..sources.local import local_table
 BROADCAST_ROWS = 100_000
 
 
+#: Bits of the integer types.
+_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+
+
+def _plainly_fits(text: str, kind: str) -> bool:
+    """Whether ``text`` is an ordinary value of the type; what is not may still be one in Spark's eyes."""
+    if kind in _BITS:
+        return re.fullmatch(r"[+-]?[0-9]{1,19}", text) is not None and -(1 << _BITS[kind] - 1) <= int(text) < 1 << _BITS[kind] - 1
+    if kind in ("double", "float"):
+        return re.fullmatch(r"[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?", text) is not None
+    return kind == "string" or (kind == "boolean" and text in ("true", "false"))
+
+
 class EditError(ValueError):
     """An edit of an unknown column or the row number, or of a value that its type does not take."""
 
@@ -46,6 +60,8 @@ class EditLog:
         if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
             raise EditError(f"{name!r} is nested; its cells can only be set to null")
         text = ("true" if value else "false") if isinstance(value, bool) else str(value)
+        if _plainly_fits(text, kind.simpleString()):
+            return text
         # constants fold on the driver: no job runs
         if spark.sql(f"SELECT try_cast(:v AS {kind.simpleString()}) IS NULL", args={"v": text}).first()[0]:
             raise EditError(f"{text!r} is no {kind.simpleString()} for {name!r}")

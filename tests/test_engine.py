@@ -138,7 +138,7 @@ def test_edits(spark, tmp_path):
     path = stored(spark.createDataFrame([(1, "x", None), (2, "y", [1])], "id int, s string, a array<int>"), tmp_path / "e.parquet")
     df, name = numbered(spark, path)
     log = EditLog(df.schema, name)
-    for row, col, value, error in ((1, "id", "zz", True), (1, name, 3, True), (1, "nope", 3, True), (0, "id", 3, True), (2, "a", "[2]", True), (1, "id", 5, False), (1, "id", 6, False), (2, "s", None, False), (2, "a", None, False)):
+    for row, col, value, error in ((1, "id", "zz", True), (1, "id", 2**31, True), (1, "id", "1_0", True), (1, "id", "", True), (1, "id", " 4 ", False), (1, name, 3, True), (1, "nope", 3, True), (0, "id", 3, True), (2, "a", "[2]", True), (1, "id", 5, False), (1, "id", 6, False), (2, "s", None, False), (2, "a", None, False)):
         if error:
             with pytest.raises(EditError):
                 log.record(spark, row, col, value)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -90,16 +90,12 @@ class ByteBPE:
     """encode(texts) gives (ids of all texts end to end, tokens in each text)."""
 
     def __init__(self, path: str, most_words: int = 500_000) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec["normalizer"]:
             raise ValueError(f"{path}: a byte-level BPE without normalizer and prefix space is needed")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.special = [t["content"] for t in spec["added_tokens"]]
         vocab = model["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
@@ -108,6 +104,16 @@ class ByteBPE:
         self.byte_ids = np.array([vocab[s] for s in byte_symbols()], np.int64)
         self.store = WordStore(most_words)
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
     def _merge_new(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = ends - starts
         flat = cps[ragged(starts, lengths)]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .arrays import BLOCK_CHARS, U64, mix, ragged
-from .common import released, with_package
+from .common import released, split_join, with_package
 
 #: Units (words, or pieces of words over LONG bytes) to each side among which a cut has the largest hash.
 REACH = 3
@@ -136,13 +136,12 @@ def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, tag, spans, source_ids) of the rows that hold repeated runs: spans ascending, and the doc_ids that keep their text.
 
     Digests are combined before the shuffle; the join of chunks and repeated
-    digests has one row a digest on one side, so adaptive execution can split
-    a digest of many chunks.
+    digests can be split where a digest has many chunks.
     """
     table = chunk_table(docs)
     place = F.struct("doc_id", "tag", "span")
     firsts = table.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    dups = table.join(firsts, "digest").where(~F.struct("doc_id", "tag", "span").eqNullSafe(F.col("first")))
+    dups = split_join(table, firsts, "digest").where(~F.struct("doc_id", "tag", "span").eqNullSafe(F.col("first")))
     ours = dups.select("doc_id", "tag", F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("stop"), F.col("first.doc_id").alias("source_id")).distinct()
     order = Window.partitionBy("doc_id", "tag").orderBy("start")
     runs = ours.withColumn("new", F.coalesce((F.lag("stop").over(order) != F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))

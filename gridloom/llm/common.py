@@ -52,6 +52,18 @@ def with_package(df: DataFrame) -> DataFrame:
     return df
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on the long ``key``, ``right`` having one row for each, so that a key of many left rows can be split.
+
+    Adaptive execution splits a skewed partition only if both sides come
+    straight from an exchange.  A side that was aggregated or joined by the
+    key keeps its partitioning and has none; so both are joined on the key's
+    complement, for which no side is partitioned yet.
+    """
+    mark = "_complement"
+    return left.withColumn(mark, F.bitwise_not(key)).join(right.withColumn(mark, F.bitwise_not(key)).drop(key), mark, how).drop(mark)
+
+
 def released() -> None:
     """Give a finished task's memory back: workers are kept for later tasks, beside other executors' processes."""
     import ctypes

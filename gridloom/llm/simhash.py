@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, text_or_empty, with_package
+from .common import checkpointed, map_rows, split_join, text_or_empty, with_package
 from .components import components
 
 #: Seed of the shingle hash.
@@ -161,5 +161,5 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, blocks: int
     labels = components(links(distinct.select("bits"), most, blocks))
     linked = distinct.join(labels.withColumnRenamed("node", "bits"), "bits")
     least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of = distinct.join(linked.join(least, "label").select("bits", "component_id"), "bits", "left").select("bits", F.coalesce("component_id", "first_id").alias("component_id"))
-    return all_bits.join(of, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    of = distinct.join(split_join(linked, least, "label").select("bits", "component_id"), "bits", "left").select("bits", F.coalesce("component_id", "first_id").alias("component_id"))
+    return split_join(all_bits, of, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")

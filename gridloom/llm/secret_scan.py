@@ -90,7 +90,8 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     secrets = rows.select("key", F.explode(F.filter("weak", lambda s: s["kind"] == 3)).alias("s"))
     secrets = secrets.select("key", "s", F.explode(F.sequence(F.floor((F.col("s.start") - scope) / scope), F.floor((F.col("s.stop") + scope) / scope))).alias("cell"))
     parts = rows.select("key", F.explode(F.concat(F.filter("base", lambda s: s["kind"] < 2), F.filter("weak", lambda s: s["kind"] > 3))).alias("p"))
-    parts = parts.select("key", "p", F.floor(F.col("p.start") / scope).alias("cell"))
+    # a part lies in every cell it touches, as it may begin far before the scope that it reaches into
+    parts = parts.select("key", "p", F.explode(F.sequence(F.floor(F.col("p.start") / scope), F.floor((F.col("p.stop") - 1) / scope))).alias("cell"))
     near = (F.col("p.start") < F.col("s.stop") + scope) & (F.col("p.stop") > F.col("s.start") - scope) & ((F.col("p.stop") <= F.col("s.start")) | (F.col("p.start") >= F.col("s.stop")))
     has = lambda k: F.max(F.when(F.col("p.kind") == k, 1).otherwise(0))
     linked = secrets.join(parts, ["key", "cell"]).where(near)

@@ -363,6 +363,23 @@ def test_secrets_in_sql(spark):
     assert (got == want).all().all() and len(documents) == len(got)
 
 
+def test_parts_that_begin_in_a_lower_cell(spark):
+    secret, host = "AbCdEfGhIjKlMnOpQrStUvWxYz0123456789ab", " db.host.local:3306 end"
+    straddles = "é " * 95 + "user=" + "b" * 20
+    texts = [
+        straddles + " " * (400 - len(straddles)) + secret + host,
+        "x " * 60 + "token=" + "Ab1." * 112 + " " + secret + host,
+        "x " * 10 + "https://" + "ab-c." * 90 + "example.com user=bob " + secret,
+        "x " * 10 + "user=" + "b" * 700 + " " + secret + host,
+        straddles + " " * (415 - len(straddles)) + secret + host,  # ends where the scope begins
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.find_secrets(df)).collect()}
+    assert got == {i: said(brute_secrets(t)[1]) for i, t in enumerate(texts)}
+    assert [f"secret:{t.index(secret)}" in got[i] for i, t in enumerate(texts)] == [True] * 4 + [False]
+    assert all(secret not in r.text for r in secret_scan.redact(df).where("doc_id < 4").collect())
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -20,6 +20,7 @@ from gridloom.llm import (  # noqa: E402
     byte_bpe,
     chunk_dedup,
     components,
+    near_copies,
     packing,
     parse_fingerprints,
     piece_bpe,
@@ -541,6 +542,74 @@ def test_components_of_long_chains(spark):
     assert all(got[k] == 0 for k in range(61)) and got[150] == got[200] == got[100] == 100 and all(got[1000 + k] == 1000 for k in range(300))
 
 
+def brute_similar(texts, least=0.8):
+    """The label of each text: the first one linked to it by the similarity of 5-word shingles."""
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()) for t in texts]
+    sets = [{b" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} for ws in words]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(a & sets[j]) >= least * len(a | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+def test_near_copies_by_similarity(spark):
+    rng = random.Random(9)
+    texts = []
+    for k in range(40):
+        ws = words(rng, 120 + k).split()
+        texts.append(" ".join(ws))
+        for changed in (1, 2, 3, 9):  # similarities of about 0.92, 0.85, 0.78 and 0.5
+            other = ws.copy()
+            for at in rng.sample(range(len(ws)), changed):
+                other[at] = "changed"
+            texts.append(" ".join(other))
+    texts += [texts[0].upper(), "", " ", "a", "a", "a b c d", " ".join(["same words again here"] * 50), " ".join(["same words again here"] * 60)]
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame([*zip(ids, texts, strict=True), (None, texts[0]), (None, None)], "doc_id long, text string")
+    got = near_copies.near_copies(df).collect()
+    assert len(got) == len(df.collect())
+    of = {r.doc_id: r.component for r in got}
+    label = brute_similar(texts)
+    first = {}
+    for i in ids:
+        first.setdefault(of[i], i)
+    found = [first[of[i]] for i in ids]
+    # no link that is not one; of the links at 0.8 or more nearly all
+    assert all(label[f] == label[i] for i, f in zip(ids, found, strict=True)) and sum(f == l for f, l in zip(found, label, strict=True)) >= 0.97 * len(ids)
+    assert {r.component for r in got if r.doc_id is None} == {of[0], of[ids[-7]]}
+    assert near_copies.near_copies(df.limit(0)).collect() == []
+
+
+def test_close_pairs_of_a_crowd_are_a_nearest_forest():
+    rng = np.random.default_rng(4)
+    prints = np.repeat(rng.integers(0, 1 << 63, (3, 2), np.uint64), 700, axis=0)
+    prints[:, 0] ^= np.uint64(1) << rng.integers(0, 64, len(prints)).astype(np.uint64)
+    a, b = near_copies.close_pairs(prints)
+    assert len(a) == len(prints) - 3 and (a // 700 == b // 700).all()
+    few = rng.integers(0, 1 << 63, (300, 2), np.uint64)
+    few[250:] = few[:50] ^ np.uint64(7)
+    assert sorted(zip(*map(list, near_copies.close_pairs(few)), strict=True)) == [(k, k + 250) for k in range(50)]
+
+
+def test_hot_keys_of_near_copies_are_dealt_out(spark):
+    rng = random.Random(2)
+    rows = [(k, b ^ (1 << rng.randrange(64)), b) for k, b in enumerate([rng.getrandbits(60) for _ in range(20)] * 20)]
+    df = spark.createDataFrame([(k, b - (1 << 64) if b >> 63 else b, m) for k, b, m in rows], "node long, bits long, more long")
+    label = {r.node: r.label for r in components.components(near_copies.candidates(df, bucket=8)).collect()}
+    assert all(label[k] == k % 20 for k in range(400))
+
+
+def test_pipeline_drops_near_copies_at_a_similarity(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    ws = words(random.Random(3), 200).split()
+    texts = [" ".join(ws), " ".join([*ws[:50], "changed", *ws[51:]]), " ".join([*ws[:50], "changed", *ws[51:120], "again", *ws[121:]]), words(random.Random(4), 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, df, "").collect()) == [0, 3]
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -610,6 +610,16 @@ def test_pipeline_drops_near_copies_at_a_similarity(spark):
     assert sorted(r.doc_id for r in pipeline.near_dedup(spark, df, "").collect()) == [0, 3]
 
 
+def test_near_dedup_tells_rows_apart_by_text(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    one, two, three = (words(random.Random(k), 100) for k in range(3))
+    rows = [(1, one), (1, two), (1, two), (2, one), (None, one), (None, three), (None, three + " more"), (None, three), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, pipeline.near_dedup(spark, df, "").collect()))
+    assert got[1, one] == got[1, two] == 1 and got[2, one] == got[None, one] == 0
+    assert got[None, three] + got[None, three + " more"] == 1 and got[None, None] + got[None, ""] == 1 and sum(got.values()) == 4
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------------
 
 

@@ -208,7 +208,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score at least THRESHOLD, with all their columns, in one pass over them."""
+    """The rows of ``docs`` that score at least THRESHOLD, with all their columns, in one pass over them; all rows if ``model`` has no weights, as nothing was learnt."""
+    if not model.weights:
+        return docs
 
     def run(batches):
         for b in batches:

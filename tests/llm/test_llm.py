@@ -659,6 +659,12 @@ def test_pu_quality_edges(spark, docs, held):
     assert pu_quality.keep_good(docs, model).columns == docs.columns
 
 
+def test_unlearnt_model_keeps_all_rows(docs, spark):
+    labels = spark.createDataFrame([(0, 0), (1, None)], "doc_id long, quality int")
+    for unlearnt in (pu_quality.learn(docs, labels), pu_quality.learn(docs, labels.limit(0))):
+        assert unlearnt.weights == () and pu_quality.keep_good(docs, unlearnt).count() == docs.count()
+
+
 # --- queries and pipeline ----------------------------------------------------------------------------------------------
 
 

@@ -76,7 +76,7 @@ _POWERS = _Powers()
 
 
 def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [starts, ends) of ``values``: equal spans, equal hashes."""
+    """64-bit hashes of the spans [starts, ends) of ``values``: equal spans, equal hashes.  Spans made for it can share one, so whoever needs identity compares (``number_spans``)."""
     n = len(values)
     _POWERS.grow(n + 1)
     sums = np.zeros(n + 1, U64)
@@ -260,40 +260,95 @@ def _merge_long(symbols: np.ndarray, pairs: PairTable) -> list[int]:
     return [s for s, dead in zip(sym, gone, strict=True) if not dead]
 
 
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` equals the span of ``b`` of the same length, symbol by symbol."""
+    out = np.ones(len(lengths), bool)
+    differs = a[ragged(a_starts, lengths)] != b[ragged(b_starts, lengths)]
+    if differs.any():
+        out[np.searchsorted(np.cumsum(lengths), np.flatnonzero(differs), "right")] = False
+    return out
+
+
+def number_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each span, place of the first span of each number, hash of each number): equal spans, and no others, share a number.
+
+    Spans are brought together by their hashes and then compared symbol by
+    symbol; those that share a hash with a different span are numbered by
+    their symbols themselves.  Numbers from ``len(hash)`` on are of such spans.
+    """
+    codes, hashes = pd.factorize(span_hash(values, starts, ends))
+    first = np.full(len(hashes), -1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    lead, lengths = first[codes], ends - starts
+    again = np.flatnonzero((lead != np.arange(len(codes))) & (lengths == lengths[lead]))
+    wrong = np.concatenate([again[~equal_spans(values, starts[again], values, starts[lead[again]], lengths[again])], np.flatnonzero(lengths != lengths[lead])])
+    if len(wrong):
+        known: dict[bytes, int] = {}
+        more = []
+        for i in np.sort(wrong).tolist():
+            code = known.setdefault(values[starts[i] : ends[i]].tobytes(), len(hashes) + len(known))
+            if code == len(hashes) + len(more):
+                more.append(i)
+            codes[i] = code
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return codes, first, hashes
+
+
 class WordStore:
-    """Words met so far in this worker: 64-bit hash to a ragged row of ids.
+    """Words met so far in this worker, each with a ragged row of ids.
 
-    It is emptied when it holds ``most`` words, so its memory is bounded
-    whatever the vocabulary of the corpus; emptied words are merged again.
+    Words are looked up by hash and then compared symbol by symbol; a word
+    that shares its hash with another one is kept under its symbols.  The
+    store is emptied when it holds ``most`` words or ``symbols`` symbols, so
+    its memory is bounded whatever the vocabulary of the corpus; emptied words
+    are merged again.
     """
 
-    def __init__(self, most: int = 500_000) -> None:
-        self.most = most
+    def __init__(self, most: int = 500_000, symbols: int = 1 << 23) -> None:
+        self.most, self.symbols = most, symbols
         self.clear()
 
     def clear(self) -> None:
         self.hashes, self.slots = np.zeros(0, U64), np.zeros(0, np.int64)
         self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.text, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.clashes: dict[bytes, int] = {}
 
-    def rows(self, hashes: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
-        """(slot of each distinct hash, code of each hash): ``make(first)`` gives (ids, lengths) of new words by where they first occur."""
-        codes, distinct = pd.factorize(hashes)
-        if len(self.hashes) + len(distinct) > self.most:
+    def rows(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, make) -> np.ndarray:
+        """The slot of each span of ``values``: ``make(first)`` gives (ids, lengths) of new words by the places of spans that hold them."""
+        codes, first, hashes = number_spans(values, starts, ends)
+        if len(self.start) + len(first) > self.most or len(self.text) > self.symbols:
             self.clear()
-        at = np.searchsorted(self.hashes, distinct)
-        at[at == len(self.hashes)] = 0
-        have = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        slot = np.where(have, self.slots[at] if len(self.slots) else 0, -1)
-        if not have.all():
-            first = np.full(len(distinct), -1, np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            fresh = np.flatnonzero(~have)
+        plain, size = len(hashes), (ends - starts)[first]
+        slot = np.full(len(first), -1, np.int64)
+        own = np.ones(len(first), bool)  # kept under its hash, unless another word has it
+        own[plain:] = False
+        if len(self.hashes):
+            at = np.searchsorted(self.hashes, hashes)
+            at[at == len(self.hashes)] = 0
+            met = np.flatnonzero(self.hashes[at] == hashes)
+            there = self.slots[at[met]]
+            long = self.begin[there + 1] - self.begin[there] == size[met]
+            same = long.copy()
+            same[long] = equal_spans(values, starts[first[met[long]]], self.text, self.begin[there[long]], size[met[long]])
+            slot[met[same]] = there[same]
+            own[met[~same]] = False
+        odd = np.flatnonzero(~own)
+        if len(odd):
+            said = [values[starts[i] : ends[i]].astype(np.uint32).tobytes() for i in first[odd].tolist()]
+            slot[odd] = [self.clashes.get(b, -1) for b in said]
+        fresh = np.flatnonzero(slot < 0)
+        if len(fresh):
             ids, lengths = make(first[fresh])
             slot[fresh] = len(self.start) - 1 + np.arange(len(fresh))
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])
             self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            hashes_now = np.concatenate([self.hashes, distinct[fresh]])
-            order = np.argsort(hashes_now)
-            self.hashes = hashes_now[order]
-            self.slots = np.concatenate([self.slots, slot[fresh]])[order]
-        return slot, codes
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size[fresh])])
+            self.text = np.concatenate([self.text, values[ragged(starts[first[fresh]], size[fresh])].astype(np.uint32)])
+            for i, b in zip(odd.tolist(), said if len(odd) else [], strict=True):
+                self.clashes[b] = int(slot[i])
+            new = fresh[own[fresh]]
+            new = new[np.argsort(hashes[new])]
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.hashes, self.slots = np.insert(self.hashes, at, hashes[new]), np.insert(self.slots, at, slot[new])
+        return slot[codes]

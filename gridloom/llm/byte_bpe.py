@@ -17,7 +17,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 
-from .arrays import PairTable, WordStore, code_points, merge_rounds, offsets, ragged, span_hash, utf8_length
+from .arrays import PairTable, WordStore, code_points, merge_rounds, offsets, ragged, utf8_length
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 #: White space as the pattern's \s has it.
@@ -133,8 +133,7 @@ class ByteBPE:
         starts = pretoken_starts(cps, bounds, kinds)
         ends = np.append(starts[1:], len(cps))
         count = np.diff(np.searchsorted(starts, bounds))
-        slot, codes = self.store.rows(span_hash(cps, starts, ends), lambda first: self._merge_new(cps, starts[first], ends[first]))
-        return slot[codes], count, odd
+        return self.store.rows(cps, starts, ends, lambda first: self._merge_new(cps, starts[first], ends[first])), count, odd
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens in each text."""

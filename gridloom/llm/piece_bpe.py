@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .arrays import PairTable, WordStore, code_points, merge_rounds, offsets, ragged, span_hash, utf8_length
+from .arrays import PairTable, WordStore, code_points, merge_rounds, offsets, ragged, utf8_length
 
 MARK = "▁"
 
@@ -76,8 +76,7 @@ class PieceBPE:
         starts = np.flatnonzero(start[: len(cps)])
         ends = np.append(starts[1:], len(cps))
         count = np.diff(np.searchsorted(starts, bounds))
-        slot, codes = self.store.rows(span_hash(cps, starts, ends), lambda first: self._merge_new(cps, starts[first], ends[first]))
-        slot = slot[codes]
+        slot = self.store.rows(cps, starts, ends, lambda first: self._merge_new(cps, starts[first], ends[first]))
         size = np.diff(self.store.start)[slot] if len(slot) else np.zeros(0, np.int64)
         lengths = np.diff(offsets(size)[offsets(count)])
         at = offsets(lengths + 2)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U64, blocks, mix, span_hash
+from .arrays import blocks, number_spans
 from .common import map_rows, released, text_or_empty, with_package
 
 #: Bounds of the fitted sample (expected rows; the hash draws them within a few per cent).
@@ -73,13 +73,14 @@ def features(texts: list[str]) -> np.ndarray:
     for name, table in _KINDS.items():
         total = np.concatenate([[0], np.cumsum(table[data])])
         out[name] = (total[ends] - total[begins]) / (chars if name in ("upper", "digits", "non_ascii") else words)
-    word = span_hash(data, starts, stops) ^ mix(np.arange(docs, dtype=U64))[owner]
+    number = number_spans(data, starts, stops)[0]
+    word = number * docs + owner  # a text of its own is a block of its own, so no product overflows
     out["short_words"] = count(owner[size <= 3]) / words
     out["distinct_words"] = count(owner[_firsts(word)]) / words
     follows = lambda k: owner[k:][word[k:] == word[:-k]] if len(word) > k else owner[:0]
     out["repeat_next"] = count(follows(1)) / words
     out["repeat_near"] = (count(follows(2)) + count(follows(3)) + count(follows(4))) / words
-    pair = mix(word[:-1] * U64(3) + word[1:]) if len(word) else word
+    pair = word[:-1] * (number.max(initial=0) + 1) + number[1:]
     inside = owner[:-1] == owner[1:]
     out["repeat_pairs"] = 1 - count(owner[:-1][inside][_firsts(pair[inside])]) / np.maximum(1, n - 1)
     out["ends_in_mark"] = count(owner[_MARK[data[stops - 1]]]) / words

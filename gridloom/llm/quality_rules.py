@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrays import U64, mix, span_hash
+from .arrays import U64, mix, number_spans
 from .common import map_rows, text_or_empty
 
 #: n-gram length to the largest share, in percent, of word characters inside n-grams found twice or more.
@@ -35,16 +35,23 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """True for each key that occurs twice or more."""
-    order = np.argsort(keys)
+def _repeated(at: np.ndarray, keys: np.ndarray, word: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """True for each n-gram, by its place ``at`` and hash, that its text holds twice or more; equal hashes are compared word by word."""
+    order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[:-1] |= same
-    twice[1:] |= same
-    out = np.zeros(len(keys), bool)
-    out[order] = twice
+    pair = np.flatnonzero(same)
+    a, b = at[order[pair]], at[order[pair + 1]]
+    equal = owner[a] == owner[b]
+    for k in range(n):
+        equal &= word[a + k] == word[b + k]
+    out = np.zeros(len(at), bool)
+    if not equal.all():  # two grams share a hash: compare them all
+        _, key = np.unique(np.stack([owner[at], *(word[at + k] for k in range(n))], axis=1), axis=0, return_inverse=True)
+        out[:] = np.bincount(key.ravel())[key.ravel()] > 1
+        return out
+    out[order[pair]] = True
+    out[order[pair + 1]] = True
     return out
 
 
@@ -83,27 +90,27 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     line_start, line_end, words_before, words_after = line_start[real], line_end[real], words_before[real], words_after[real]
     line_owner = np.searchsorted(begins, line_start, "right") - 1
     salt = mix(np.arange(docs, dtype=U64) + U64(0x51ED))
-    key = span_hash(data, line_start, line_end) ^ salt[line_owner]
-    order = np.lexsort((line_start, key))
-    later = np.zeros(len(key), bool)
-    later[order[1:]] = key[order[1:]] == key[order[:-1]]
+    key = number_spans(data, line_start, line_end)[0] * np.int64(docs) + line_owner
+    later = np.ones(len(key), bool)
+    later[np.unique(key, return_index=True)[1]] = False
     out["n_dup_lines"] = count(line_owner[later])
     total = np.concatenate([[0], np.cumsum(size)])
     out["dup_line_chars"] = count(line_owner[later], (total[words_after] - total[words_before])[later])
 
-    # n-grams: H(n + 1, i) = H(n, i) * base + word[i + n], kept inside each text
-    word = span_hash(data, starts, stops)
+    # n-grams: H(n + 1, i) = H(n, i) * base + hash(word[i + n]), kept inside each text
+    word = number_spans(data, starts, stops)[0]
     n_all = len(word)
     left = np.zeros(docs + 1, np.int64)
     np.cumsum(out["n_words"], out=left[1:])
     room = left[owner + 1] - np.arange(n_all)  # words from here to the text's end
-    rolled, base = word.copy(), U64(0xD6E8FEB86659FD93)
+    hashed, base = mix(word.astype(U64) + U64(1)), U64(0xD6E8FEB86659FD93)
+    rolled = hashed.copy()
     for n in range(2, max(NGRAM_PERCENT) + 1):
         if n_all >= n:
-            rolled[: n_all - n + 1] = rolled[: n_all - n + 1] * base + word[n - 1 :]
+            rolled[: n_all - n + 1] = rolled[: n_all - n + 1] * base + hashed[n - 1 :]
         if n in NGRAM_PERCENT or n == WINDOW:
             at = np.flatnonzero(room >= n)
-            at = at[_repeated(mix(rolled[at]) ^ salt[owner[at]])]
+            at = at[_repeated(at, mix(rolled[at]) ^ salt[owner[at]], word, owner, n)]
             inside = _covered(at, n, n_all)
             out[f"dup_{n}gram_chars"] = count(owner[inside], size[inside])
             if n == WINDOW:

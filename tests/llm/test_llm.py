@@ -138,6 +138,49 @@ def test_span_hashes_tell_spans_apart():
     assert h[0] == h[1] and h[2] == h[3] and h[0] != h[2]
 
 
+def twins(n, one="a", two="b"):
+    """The Thue-Morse word of n units and its complement: their polynomial hashes modulo 2**64 are the same for any odd base."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join(two if b else one for b in bits), "".join(one if b else two for b in bits)
+
+
+TWINS = [t for n, *pair in ((512, "ab", "cd"), (512, "a", "b"), (1024, "a", "b"), (1024, "0", "1"), (1024, "e", "x"), (2048, "a", "b"), (8192, "h", "é")) for t in twins(n, *pair)]
+
+
+def test_numbers_tell_spans_of_one_hash_apart():
+    one, two = twins(1024)
+    a = np.frombuffer((one + two + one + "x" + two + two + one).encode(), np.uint8)
+    starts = np.array([0, 1024, 2048, 3073, 4097, 5121])
+    h = arrays.span_hash(a, starts, starts + 1024)
+    codes, first, hashes = arrays.number_spans(a, starts, starts + 1024)
+    assert len(set(h.tolist())) == 1 == len(hashes) and codes.tolist() == [0, 1, 0, 1, 1, 0] and first.tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_words_of_one_hash_are_told_apart(together):
+    import sentencepiece
+
+    bpe, pieces, lib = byte_bpe.ByteBPE(BYTES), piece_bpe.PieceBPE(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for block in [TWINS] if together else [[t] for t in [*TWINS, *TWINS]]:
+        ids, n = bpe.encode(block)
+        rows = np.split(ids, np.cumsum(n)[:-1])
+        assert [r.tolist() for r in rows] == [bpe.library.encode(t, add_special_tokens=False).ids for t in block] and bpe.counts(block).tolist() == n.tolist()
+        ids, n = pieces.encode(block)
+        rows = np.split(ids, np.cumsum(n)[:-1])
+        assert [r.tolist() for r in rows] == [lib.encode(t, add_bos=True, add_eos=True) for t in block]
+        assert [d.decode() for d in pieces.decode(ids, n)] == block
+
+
+def test_quality_counts_tell_words_of_one_hash_apart():
+    one, two = twins(1024)
+    filler = " ".join(f"w{k}" for k in range(30))
+    m = quality_rules.measure([f"{one}\n{two}\n{filler}", f"{one}\n{two}\n{one}", f"{one} 1 2 3 4 5 6 7 {two} 1 2 3 4 5 6 7"])
+    assert m["n_dup_lines"].tolist() == [0, 1, 0] and m["n_repeat_words"].tolist() == [0, 0, 0] and m["dup_5gram_chars"].tolist() == [0, 0, 14]
+    at = np.array([0, 1, 2, 3])
+    word, owner = np.array([5, 6, 5, 7, 5]), np.zeros(5, np.int64)
+    assert quality_rules._repeated(at, np.zeros(4, np.uint64), word, owner, 1).tolist() == [True, False, True, False]  # all of one hash
+
+
 # --- 1 -----------------------------------------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the text contracts: maximal runs without ASCII white space.
@@ -25,6 +25,12 @@ def text_or_empty(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def columns_of(df: DataFrame, alias: str = "", **instead: Column) -> list[Column]:
+    """All columns of ``df`` (under ``alias``, in a join) whatever their names hold, with the columns ``instead`` in place of those named."""
+    own = lambda c: F.col((f"{alias}." if alias else "") + "`" + c.replace("`", "``") + "`")
+    return [instead[c].alias(c) if c in instead else own(c) for c in df.columns]
+
+
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 

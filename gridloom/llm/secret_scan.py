@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, columns_of
 
 #: The base kinds.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -26,6 +26,10 @@ HEX = r"[0-9a-f]{24,}"
 WEAK_SECRET = r"[A-Za-z0-9+/_=-]{32,}"
 WEAK_USER = r"""(?:[Uu][Ss][Ee][Rr](?:[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd])["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.=-]+"""
 ENDPOINT = r"[a-z][a-z0-9+]{1,10}://[A-Za-z0-9.-]+\.[A-Za-z0-9.-]+(?::[0-9]+)?|[a-z0-9-]+(?:\.[a-z0-9-]+)+:[0-9]{2,5}"
+#: ENDPOINT as it is searched for: the same matches, in time that grows with the text.  A host is tried only where no longer one can
+#: begin: not inside a label or after a label's dot, but for those that the match before it ends in.  Nothing is given back, as what
+#: follows a label is none of its characters.
+_ENDPOINT = ENDPOINT.replace("|[a-z0-9-]+(?:\\.[a-z0-9-]+)+:", r"|(?:(?<![a-z0-9-])(?<![a-z0-9-]\.)|\G|(?<=\G\.))[a-z0-9-]++(?:\.[a-z0-9-]++)++:")
 #: Scope: characters between a weak secret and a part that it is linked with.
 SCOPE = 200
 
@@ -33,26 +37,52 @@ SCOPE = 200
 KINDS = ("assign", "access", "hex", "secret", "user", "endpoint")
 
 
+#: Items in a block of a running sum or maximum.
+_BLOCK = 64
+
+
 def _none() -> Column:
     """No spans."""
     return F.array().cast("array<struct<start:int,kind:int,stop:int>>")
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, op, zero: int, levels: int = 2) -> Column:
+    """What ``op`` makes of all items before each one of an array that has items.
+
+    An aggregate that keeps an array copies it at each item, so only single
+    numbers are carried on: over the items of a block, and over the blocks.
+    """
+    all_of = lambda xs: F.aggregate(xs, F.lit(zero), op)
+    before = lambda xs: F.transform(xs, lambda _, j: all_of(F.slice(xs, F.lit(1), j)))
+    if not levels:
+        return _let(values, before)
+
+    def blocked(xs: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda k: F.slice(xs, k * _BLOCK + 1, _BLOCK))
+        ahead = lambda blocks: _running(F.transform(blocks, all_of), op, zero, levels - 1)
+        return _let(cut, lambda blocks: F.flatten(F.zip_with(blocks, ahead(blocks), lambda x, at: F.transform(before(x), lambda v: op(at, v)))))
+
+    return _let(values, blocked)
+
+
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """array<struct<start, kind, stop>> of the leftmost non-overlapping matches, in code points; ``keep`` filters by the matched string."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    # a running end: each match starts after what came before it and the text between
-    empty = _none()
-    pairs = F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b"))
+    # the text after the last match is a pair without a match
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
+    size = lambda said: F.coalesce(F.char_length(said), F.lit(0))
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.char_length(pair["b"])
-        stop = start + F.char_length(pair["m"])
-        more = F.array_append(state["spans"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop")))
-        return F.struct(stop.alias("at"), (F.when(keep(pair["m"]), more).otherwise(state["spans"]) if keep else more).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        at = _running(F.transform(pairs, lambda p: size(p["b"]) + size(p["m"])), lambda a, v: a + v, 0)
+        all_ = F.zip_with(pairs, at, lambda p, a: F.struct((a + size(p["b"])).alias("start"), (a + size(p["b"]) + size(p["m"])).alias("stop"), p["m"].alias("m")))
+        found = F.filter(all_, lambda s: s["m"].isNotNull() & keep(s["m"]) if keep else s["m"].isNotNull())
+        return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
 
-    starts = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(text.rlike(pattern), starts).otherwise(empty)
+    return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(_none())
 
 
 def _listed(spans: Column) -> Column:
@@ -67,36 +97,39 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     base are the strong matches, linked the weak parts that complete each
     other.  Null and empty texts have none; a null doc_id is kept; repeated
     rows each get their own; an empty table gives none; other columns are not
-    read.
+    read.  Time grows with the text, whatever it holds.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Z]") & m.rlike("[a-z]")
     found = checkpointed(
         docs.select(
             "doc_id",
-            F.xxhash64(text).alias("tag"),
+            _tag(text).alias("tag"),
             F.concat(
                 _spans(text, ASSIGN, 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 6),
                 _spans(text, ACCESS, 1),
                 _spans(text, HEX, 2),
             ).alias("base"),
             # company is looked for only where there is something to complete
-            F.when(text.rlike(WEAK_SECRET), F.concat(_spans(text, WEAK_SECRET, 3, mixed), _spans(text, WEAK_USER, 4), _spans(text, ENDPOINT, 5))).otherwise(_none()).alias("weak"),
+            F.when(text.rlike(WEAK_SECRET), F.concat(_spans(text, WEAK_SECRET, 3, mixed), _spans(text, WEAK_USER, 4), _spans(text, _ENDPOINT, 5))).otherwise(_none()).alias("weak"),
         )
     )
     key = F.struct("doc_id", "tag")
     # only rows with a weak secret can link; rows that repeat doc_id and text are alike and linked once
     rows = found.where(F.exists("weak", lambda s: s["kind"] == 3)).select(key.alias("key"), "base", "weak").dropDuplicates(["key"])
     secrets = rows.select("key", F.explode(F.filter("weak", lambda s: s["kind"] == 3)).alias("s"))
-    secrets = secrets.select("key", "s", F.explode(F.sequence(F.floor((F.col("s.start") - scope) / scope), F.floor((F.col("s.stop") + scope) / scope))).alias("cell"))
+    # a part before the secret ends in the scope, one after it begins there: each lies in the cells of its ends
+    cells = lambda start, stop: F.sequence(F.floor(start / scope), F.floor(stop / scope))
+    scopes = F.array_union(cells(F.col("s.start") - scope, F.col("s.start") - 1), cells(F.col("s.stop"), F.col("s.stop") + scope - 1))
+    secrets = secrets.select("key", "s", F.explode(scopes).alias("cell"))
     parts = rows.select("key", F.explode(F.concat(F.filter("base", lambda s: s["kind"] < 2), F.filter("weak", lambda s: s["kind"] > 3))).alias("p"))
-    # a part lies in every cell it touches, as it may begin far before the scope that it reaches into
-    parts = parts.select("key", "p", F.explode(F.sequence(F.floor(F.col("p.start") / scope), F.floor((F.col("p.stop") - 1) / scope))).alias("cell"))
+    parts = parts.select("key", "p", F.explode(F.array_distinct(F.array(F.floor(F.col("p.start") / scope), F.floor((F.col("p.stop") - 1) / scope)))).alias("cell"))
     near = (F.col("p.start") < F.col("s.stop") + scope) & (F.col("p.stop") > F.col("s.start") - scope) & ((F.col("p.stop") <= F.col("s.start")) | (F.col("p.start") >= F.col("s.stop")))
     has = lambda k: F.max(F.when(F.col("p.kind") == k, 1).otherwise(0))
     linked = secrets.join(parts, ["key", "cell"]).where(near)
     complete = linked.groupBy("key", "s").agg(has(0).alias("a"), has(1).alias("i"), has(4).alias("u"), has(5).alias("e"), F.collect_set("p").alias("ps")).where("i = 1 OR (e = 1 AND (a = 1 OR u = 1))")
-    spans = complete.groupBy("key").agg(F.array_distinct(F.concat(F.collect_list("s"), F.filter(F.flatten(F.collect_list("ps")), lambda s: s["kind"] > 3))).alias("linked"))
+    linked = complete.select("key", F.explode(F.concat(F.array("s"), F.filter("ps", lambda s: s["kind"] > 3))).alias("span"))
+    spans = linked.groupBy("key").agg(F.collect_set("span").alias("linked"))
     spans = spans.select(F.col("key.doc_id").alias("_doc"), F.col("key.tag").alias("_tag"), "linked")
     return found.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select(
         "doc_id", F.array_sort("base").alias("base"), F.coalesce("linked", _none()).alias("linked"), "tag"
@@ -109,30 +142,61 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.concat("base", "linked")).alias("spans"))
 
 
+def _tag(text: Column) -> Column:
+    """128 bits that tell a text from others."""
+    return F.struct(F.xxhash64(text).alias("one"), F.xxhash64(F.lit(1), text).alias("two"))
+
+
 def _covered(spans: Column) -> Column:
-    """Disjoint (start, stop) intervals, ascending, that cover ``spans``."""
-    empty = F.array().cast("array<struct<start:int,stop:int>>")
-    return F.aggregate(
-        F.array_sort(spans),
-        empty,
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= s["start"]),
-            F.array_append(F.slice(done, 1, F.size(done) - 1), F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"))),
-        ).otherwise(F.array_append(done, F.struct(s["start"].alias("start"), s["stop"].alias("stop")))),
-    )
+    """Disjoint (start, stop) intervals, ascending, that cover ``spans``; there is one at least."""
+
+    def covered(spans: Column) -> Column:
+        stops = F.transform(spans, lambda s: s["stop"])
+        known = F.zip_with(spans, _running(stops, lambda a, v: F.greatest(a, v), -1), lambda s, before: F.struct(s["start"].alias("start"), before.alias("before")))
+        # an interval begins where no span before it reaches, and ends where the spans before the next one do
+        begins = F.filter(known, lambda k: k["start"] > k["before"])
+        ends = lambda b: F.concat(F.transform(F.slice(b, F.lit(2), F.size(b)), lambda k: k["before"]), F.array(F.array_max(stops)))
+        return _let(begins, lambda b: F.zip_with(b, ends(b), lambda k, stop: F.struct(k["start"].alias("start"), stop.alias("stop"))))
+
+    return _let(F.array_sort(spans), covered)
+
+
+#: Characters in a part of a text from which pieces are taken, as finding a place in a text means to count from its start.
+_PART = 1024
+
+
+def _without(text: Column, cut: Column, mask: str) -> Column:
+    """``text`` with the intervals ``cut`` replaced by ``mask``."""
+
+    def piece(parts: Column, start: Column, stop: Column) -> Column:
+        i, j = F.floor(start / _PART).cast("int"), F.floor(stop / _PART).cast("int")
+        at = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+        inside = F.substring(at(i), start % _PART + 1, stop - start)
+        across = F.concat(F.substring(at(i), start % _PART + 1, F.lit(_PART)), F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.substring(at(j), F.lit(1), stop % _PART))
+        return F.when(stop <= start, F.lit("")).when(i == j, inside).otherwise(across)
+
+    def build(s: Column) -> Column:
+        befores = F.concat(F.array(F.lit(0)), F.transform(s["cut"], lambda c: c["stop"]))
+        afters = F.concat(F.transform(s["cut"], lambda c: c["start"]), F.array(s["size"]))
+        return F.array_join(F.zip_with(befores, afters, lambda b, a: piece(s["parts"], b, a)), mask)
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+    return _let(F.struct(parts.alias("parts"), cut.alias("cut"), F.char_length(text).alias("size")), build)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every found span in ``text`` replaced by ``mask``; overlapping spans become one.  Null texts stay null; other columns pass through."""
+    """``docs`` with every found span in ``text`` replaced by ``mask``; spans that meet become one.
+
+    Null texts stay null and empty ones empty; a null doc_id is kept; repeated
+    rows are masked alike; an empty table gives none; other columns pass
+    through under any name.
+    """
     spans = find_secrets(docs, scope).select("doc_id", "tag", F.concat("base", "linked").alias("spans")).where(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["doc_id", "tag"]).select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), _covered(F.col("spans")).alias("_cut"))
-    own = docs.drop("_doc", "_tag", "_cut")
-    joined = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tag")), "left")
-    befores = F.concat(F.array(F.lit(0)), F.transform("_cut", lambda c: c["stop"]))
-    afters = F.concat(F.transform("_cut", lambda c: c["start"]), F.array(F.char_length("text")))
-    kept = F.zip_with(befores, afters, lambda b, a: F.substring(F.col("text"), b + 1, a - b))
-    text = F.when(F.col("_cut").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, mask))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in own.columns])
+    spans = spans.dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", _covered(F.col("spans")).alias("cut")).alias("found")
+    tag = _tag(F.coalesce(F.col("own.text"), F.lit("")))
+    joined = docs.alias("own").join(spans, F.col("own.doc_id").eqNullSafe(F.col("found.doc_id")) & (tag == F.col("found.tag")), "left")
+    text = F.when(F.col("found.cut").isNull() | F.col("own.text").isNull(), F.col("own.text")).otherwise(_without(F.col("own.text"), F.col("found.cut"), mask))
+    return joined.select(*columns_of(docs, "own", text=text))
 
 
 def _oracle() -> str:

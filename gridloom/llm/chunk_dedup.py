@@ -2,8 +2,9 @@
 
 Texts are cut where a gear rolling hash is largest among its neighbours, so
 cuts depend on nearby content only and an insertion moves no cut beyond its
-surroundings.  Chunks are deduplicated by digest: the first one, by (doc_id,
-place), stays.  Repeated chunks that follow each other form runs, and runs of
+surroundings.  Chunks are deduplicated by digest (128 bits): the first one, by
+(doc_id, place), stays.  Each task first combines its own chunks, so a digest
+reaches the shuffle by one row a task however often it occurs.  Repeated chunks that follow each other form runs, and runs of
 at least ``min_chars`` characters are cut out of their text; shorter ones
 (greetings, common phrases) stay where they are.
 """
@@ -13,14 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .arrays import BLOCK_CHARS, U64, mix, ragged
-from .common import released, split_join, with_package
+from .common import columns_of, released, with_package, without
 
 #: Units (words, or pieces of words over LONG bytes) to each side among which a cut has the largest hash.
 REACH = 3
@@ -46,7 +45,7 @@ def gear(data: np.ndarray) -> np.ndarray:
 
 
 def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, stop, digest) of each chunk: code points from its first character to the next chunk's.
+    """(text, start, stop, digest: two longs) of each chunk: code points from its first character to the next chunk's.
 
     White space before a text's first word belongs to no chunk; the last chunk ends with the text.
     """
@@ -74,7 +73,7 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         starts, stops = np.sort(np.concatenate([starts, last + 1])), np.sort(np.concatenate([stops, last + 1]))
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return none, none, none, none.reshape(0, 2)
     owner = np.searchsorted(begins, starts, "right") - 1
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     ends_line = np.zeros(len(starts), bool)
@@ -97,7 +96,7 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         step = ragged(np.zeros(len(more), np.int64), more)
         final = np.sort(np.concatenate([final, np.repeat(final[wide] - units[wide], more) + MOST * (step + 1)]))
     first = np.concatenate([[0], final[:-1] + 1])
-    digest = np.fromiter(map(xxhash.xxh3_64_intdigest, map(joined.__getitem__, map(slice, starts[first].tolist(), stops[final].tolist()))), U64, len(first)).view(np.int64)
+    digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, map(joined.__getitem__, map(slice, starts[first].tolist(), stops[final].tolist())))), "<i8").reshape(-1, 2)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     text = owner[first]
     start = points[starts[first]] - points[begins[text]]
@@ -108,58 +107,110 @@ def chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return text, start, stop, digest
 
 
+#: Chunks that a task combines at a time.
+COMBINED = 1 << 19
+_FIELDS = "one long, two long, doc_id long, tag long, chars int, span long, source_id long, known boolean"
+
+
+def _combined(one, two, doc, null, tag, chars, span) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places that stay, the place that holds the same chunk first, whether that is another one) of some chunks: each place once."""
+    order = np.argsort(one, kind="stable")
+    same = one[order[1:]] == one[order[:-1]]
+    twice = np.zeros(len(one), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    rest = np.flatnonzero(twice)
+    rest = rest[np.lexsort((span[rest], chars[rest], tag[rest], doc[rest], ~null[rest], two[rest], one[rest]))]
+    fresh, moved = np.ones(len(rest), bool), np.ones(len(rest), bool)
+    fresh[1:] = (one[rest[1:]] != one[rest[:-1]]) | (two[rest[1:]] != two[rest[:-1]])
+    moved[1:] = fresh[1:]
+    for field in (doc, null, tag, chars, span):
+        moved[1:] |= field[rest[1:]] != field[rest[:-1]]
+    lead = rest[np.maximum.accumulate(np.where(fresh, np.arange(len(rest)), 0))] if len(rest) else rest
+    alone = np.flatnonzero(~twice)
+    stay = np.concatenate([alone, rest[moved]])
+    return stay, np.concatenate([alone, lead[moved]]), np.concatenate([np.zeros(len(alone), bool), ~fresh[moved]])
+
+
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id, tag, span) of every chunk of every row; tag: a hash of the text, span: start * 2**32 + stop."""
+    """The chunks of every row: digest (one, two), document (doc_id, tag and chars of its text) and span (start * 2**32 + stop).
+
+    A task's own repeats are known: source_id is then the document of its first
+    place with that chunk.
+    """
+    names = [f.split()[0] for f in _FIELDS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            digest, doc, null, tag, chars, span = (np.concatenate(c) for c in zip(*held, strict=True))
+            one, two = digest[:, 0].copy(), digest[:, 1].copy()
+            stay, lead, known = _combined(one, two, doc, null, tag, chars, span)
+            for at in range(0, len(stay), 1 << 16):
+                k, f, again = stay[at : at + (1 << 16)], lead[at : at + (1 << 16)], known[at : at + (1 << 16)]
+                columns = [pa.array(one[k]), pa.array(two[k]), pa.array(doc[k], mask=null[k]), pa.array(tag[k]), pa.array(chars[k]), pa.array(span[k]), pa.array(doc[f], mask=null[f] | ~again), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        def add(ids: np.ndarray, null: np.ndarray, tags: np.ndarray, texts: list[str]) -> int:
+            text, start, stop, digest = chunks(texts)
+            size = np.array([len(t) for t in texts], np.int32)
+            held.append((digest, ids[text], null[text], tags[text], size[text], start << 32 | stop))
+            return len(text)
+
         for batch in batches:
             ids, tags, texts = batch.columns
-            at, n = 0, 0
+            null = np.array(ids.is_null())
+            ids, tags = np.asarray(ids.fill_null(0)), np.asarray(tags)
+            at, size = 0, 0
             for k in range(batch.num_rows + 1):
-                size = len(texts[k].as_py()) if k < batch.num_rows else 0
-                if k > at and (k == batch.num_rows or n + size > BLOCK_CHARS):
-                    text, start, stop, digest = chunks(texts.slice(at, k - at).to_pylist())
-                    where = pa.array(text + at)
-                    yield pa.RecordBatch.from_arrays([pa.array(digest), ids.take(where), tags.take(where), pa.array(start << 32 | stop)], names=["digest", "doc_id", "tag", "span"])
-                    at, n = k, 0
-                n += size
+                more = len(texts[k].as_py()) if k < batch.num_rows else 0
+                if k > at and (k == batch.num_rows or size + more > BLOCK_CHARS):
+                    n += add(ids[at:k], null[at:k], tags[at:k], texts.slice(at, k - at).to_pylist())
+                    at, size = k, 0
+                    if n >= COMBINED:
+                        yield from combined()
+                        held.clear()
+                        n = 0
+                size += more
+        if held:
+            yield from combined()
         released()
 
-    return with_package(docs).select("doc_id", _tag(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "digest long, doc_id long, tag int, span long")
-
-
-def _tag():
-    return F.hash(F.coalesce("text", F.lit(""))).alias("tag")
+    text = F.coalesce("text", F.lit(""))
+    return with_package(docs).select("doc_id", F.xxhash64(text).alias("tag"), text.alias("text")).mapInArrow(run, _FIELDS)
 
 
 def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, tag, spans, source_ids) of the rows that hold repeated runs: spans ascending, and the doc_ids that keep their text.
+    """(doc_id, tag, chars, cut, source_ids) of the documents that hold repeated runs: intervals ascending, and doc_ids that hold their text before them.
 
-    Digests are combined before the shuffle; the join of chunks and repeated
-    digests can be split where a digest has many chunks.
+    Chunks are shuffled once, by digest; those that their task knows to be
+    repeats need no company there and are spread by their place.
     """
-    table = chunk_table(docs)
-    place = F.struct("doc_id", "tag", "span")
-    firsts = table.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    dups = split_join(table, firsts, "digest").where(~F.struct("doc_id", "tag", "span").eqNullSafe(F.col("first")))
-    ours = dups.select("doc_id", "tag", F.shiftright("span", 32).alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).alias("stop"), F.col("first.doc_id").alias("source_id")).distinct()
-    order = Window.partitionBy("doc_id", "tag").orderBy("start")
+    place = F.struct("doc_id", "tag", "chars", "span")
+    spread = F.when(F.col("known"), F.xxhash64("doc_id", "tag", "span")).otherwise(0)
+    table = chunk_table(docs).withColumn("spread", spread).repartition("one", "two", "spread")
+    first = F.first(place).over(Window.partitionBy("one", "two", "spread").orderBy("doc_id", "tag", "chars", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = table.select("doc_id", "tag", "chars", "span", "known", "source_id", place.alias("place"), first.alias("first")).where("known OR NOT place <=> first")
+    source = F.when(F.col("known"), F.col("source_id")).otherwise(F.col("first.doc_id"))
+    dups = found.select("doc_id", "tag", "chars", F.shiftright("span", 32).cast("int").alias("start"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("stop"), source.alias("source_id"))
+    # all that follows keeps this partitioning
+    ours = dups.repartition("doc_id", "tag", "chars").groupBy("doc_id", "tag", "chars", "start", "stop").agg(F.min("source_id").alias("source_id"))
+    order = Window.partitionBy("doc_id", "tag", "chars").orderBy("start")
     runs = ours.withColumn("new", F.coalesce((F.lag("stop").over(order) != F.col("start")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    long = runs.groupBy("doc_id", "tag", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("source_id").alias("sources")).where(F.col("stop") - F.col("start") >= min_chars)
-    return long.groupBy("doc_id", "tag").agg(
-        F.array_sort(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("stop")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("source_ids")
+    long = runs.groupBy("doc_id", "tag", "chars", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.collect_set("source_id").alias("sources")).where(F.col("stop") - F.col("start") >= min_chars)
+    return long.groupBy("doc_id", "tag", "chars").agg(
+        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("cut"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("source_ids")
     )
 
 
-def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    def cut(text: str, packed) -> str:
-        at, kept = 0, []
-        for s in packed.tolist():
-            kept.append(text[at : s >> 32])
-            at = s & 0xFFFFFFFF
-        return "".join([*kept, text[at:]])
-
-    return pd.Series([t if p is None or t is None else cut(t, p) for t, p in zip(texts, spans, strict=True)], dtype=object)
+def _cut(docs: DataFrame, min_chars: int) -> tuple[DataFrame, Column]:
+    """``docs`` as ``own`` with its runs as ``runs``, and the text without them."""
+    text = F.coalesce(F.col("own.text"), F.lit(""))
+    same = F.col("own.doc_id").eqNullSafe(F.col("runs.doc_id")) & (F.xxhash64(text) == F.col("runs.tag")) & (F.char_length(text) == F.col("runs.chars"))
+    joined = docs.alias("own").join(repeated_runs(docs, min_chars).alias("runs"), same, "left")
+    return joined, F.when(F.col("runs.cut").isNull(), F.col("own.text")).otherwise(without(F.col("own.text"), F.col("runs.cut"), ""))
 
 
 #: Columns that ``dedup_substrings`` adds; columns of these names in its input are left behind.
@@ -169,19 +220,24 @@ ADDED = ("removed_chars", "removed", "source_ids")
 def dedup_substrings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated runs cut out of ``text``, and removed_chars, removed (spans in the old text) and source_ids.
 
-    The first occurrence by (doc_id, place) stays, also inside one text.  Null
-    and empty texts stay as they are; a null doc_id sorts first; rows that
-    repeat a doc_id and its text are one document and stay alike; an empty
-    table gives none; other columns pass through.
+    The first occurrence by (doc_id, place) stays, also inside one text; which
+    of the earlier ones source_ids names depends on the partitions.  Null and
+    empty texts stay as they are; a null doc_id sorts first; documents of one
+    doc_id are told apart by their texts; rows that repeat a doc_id and its
+    text are one document and stay alike; an empty table gives none; other
+    columns pass through, but for those called as ADDED.
     """
-    own = docs.drop(*ADDED, "tag", "spans")
-    runs = repeated_runs(docs, min_chars)
-    runs = runs.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), "spans", "source_ids")
-    without = F.pandas_udf(_without, StringType())
-    joined = own.withColumn("tag", _tag()).join(runs, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
-    spans = F.coalesce("spans", F.array().cast("array<long>"))
-    removed = F.transform(spans, lambda s: F.struct(F.shiftright(s, 32).alias("start"), s.bitwiseAND(0xFFFFFFFF).alias("stop")))
-    chars = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.bitwiseAND(0xFFFFFFFF) - F.shiftright(s, 32))
-    return joined.select(
-        *[without("text", "spans").alias("text") if c == "text" else F.col(f"`{c}`") for c in own.columns], chars.alias("removed_chars"), removed.alias("removed"), F.coalesce("source_ids", F.array().cast("array<long>")).alias("source_ids")
-    )
+    own = docs.drop(*ADDED)
+    joined, text = _cut(own, min_chars)
+    cut = F.coalesce(F.col("runs.cut"), F.array().cast("array<struct<start:int,stop:int>>"))
+    chars = F.aggregate(cut, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    sources = F.coalesce(F.col("runs.source_ids"), F.array().cast("array<long>"))
+    return joined.select(*columns_of(own, "own", text=text), chars.alias("removed_chars"), cut.alias("removed"), sources.alias("source_ids"))
+
+
+def without_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The columns of ``docs``, under any names, with repeated runs cut out of ``text``; rows of which no word is left go, but for those that had none."""
+    joined, text = _cut(docs, min_chars)
+    left = joined.select(*columns_of(docs, "own", text=text), F.col("runs.cut").isNotNull().alias("__cut"))
+    left = left.where(~F.col("__cut") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*columns_of(docs))

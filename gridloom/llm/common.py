@@ -31,6 +31,34 @@ def columns_of(df: DataFrame, alias: str = "", **instead: Column) -> list[Column
     return [instead[c].alias(c) if c in instead else own(c) for c in df.columns]
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Characters in a part of a text from which pieces are taken, as finding a place in a text means to count from its start.
+_PART = 1024
+
+
+def without(text: Column, cut: Column, mask: str) -> Column:
+    """``text`` with the intervals ``cut`` replaced by ``mask``."""
+
+    def piece(parts: Column, start: Column, stop: Column) -> Column:
+        i, j = F.floor(start / _PART).cast("int"), F.floor(stop / _PART).cast("int")
+        at = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+        inside = F.substring(at(i), start % _PART + 1, stop - start)
+        across = F.concat(F.substring(at(i), start % _PART + 1, F.lit(_PART)), F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.substring(at(j), F.lit(1), stop % _PART))
+        return F.when(stop <= start, F.lit("")).when(i == j, inside).otherwise(across)
+
+    def build(s: Column) -> Column:
+        befores = F.concat(F.array(F.lit(0)), F.transform(s["cut"], lambda c: c["stop"]))
+        afters = F.concat(F.transform(s["cut"], lambda c: c["start"]), F.array(s["size"]))
+        return F.array_join(F.zip_with(befores, afters, lambda b, a: piece(s["parts"], b, a)), mask)
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
+    return let(F.struct(parts.alias("parts"), cut.alias("cut"), F.char_length(text).alias("size")), build)
+
+
 _SHIPPED: weakref.WeakSet = weakref.WeakSet()
 
 

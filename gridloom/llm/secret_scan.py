@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, columns_of
+from .common import checkpointed, columns_of, let, without
 
 #: The base kinds.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,11 +46,6 @@ def _none() -> Column:
     return F.array().cast("array<struct<start:int,kind:int,stop:int>>")
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)``, with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _running(values: Column, op, zero: int, levels: int = 2) -> Column:
     """What ``op`` makes of all items before each one of an array that has items.
 
@@ -60,14 +55,14 @@ def _running(values: Column, op, zero: int, levels: int = 2) -> Column:
     all_of = lambda xs: F.aggregate(xs, F.lit(zero), op)
     before = lambda xs: F.transform(xs, lambda _, j: all_of(F.slice(xs, F.lit(1), j)))
     if not levels:
-        return _let(values, before)
+        return let(values, before)
 
     def blocked(xs: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / _BLOCK).cast("int")), lambda k: F.slice(xs, k * _BLOCK + 1, _BLOCK))
         ahead = lambda blocks: _running(F.transform(blocks, all_of), op, zero, levels - 1)
-        return _let(cut, lambda blocks: F.flatten(F.zip_with(blocks, ahead(blocks), lambda x, at: F.transform(before(x), lambda v: op(at, v)))))
+        return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, ahead(blocks), lambda x, at: F.transform(before(x), lambda v: op(at, v)))))
 
-    return _let(values, blocked)
+    return let(values, blocked)
 
 
 def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -82,7 +77,7 @@ def _spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
         found = F.filter(all_, lambda s: s["m"].isNotNull() & keep(s["m"]) if keep else s["m"].isNotNull())
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["stop"].alias("stop")))
 
-    return F.when(text.rlike(pattern), _let(pairs, placed)).otherwise(_none())
+    return F.when(text.rlike(pattern), let(pairs, placed)).otherwise(_none())
 
 
 def _listed(spans: Column) -> Column:
@@ -156,32 +151,9 @@ def _covered(spans: Column) -> Column:
         # an interval begins where no span before it reaches, and ends where the spans before the next one do
         begins = F.filter(known, lambda k: k["start"] > k["before"])
         ends = lambda b: F.concat(F.transform(F.slice(b, F.lit(2), F.size(b)), lambda k: k["before"]), F.array(F.array_max(stops)))
-        return _let(begins, lambda b: F.zip_with(b, ends(b), lambda k, stop: F.struct(k["start"].alias("start"), stop.alias("stop"))))
-
-    return _let(F.array_sort(spans), covered)
-
-
-#: Characters in a part of a text from which pieces are taken, as finding a place in a text means to count from its start.
-_PART = 1024
-
-
-def _without(text: Column, cut: Column, mask: str) -> Column:
-    """``text`` with the intervals ``cut`` replaced by ``mask``."""
-
-    def piece(parts: Column, start: Column, stop: Column) -> Column:
-        i, j = F.floor(start / _PART).cast("int"), F.floor(stop / _PART).cast("int")
-        at = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
-        inside = F.substring(at(i), start % _PART + 1, stop - start)
-        across = F.concat(F.substring(at(i), start % _PART + 1, F.lit(_PART)), F.array_join(F.slice(parts, i + 2, j - i - 1), ""), F.substring(at(j), F.lit(1), stop % _PART))
-        return F.when(stop <= start, F.lit("")).when(i == j, inside).otherwise(across)
-
-    def build(s: Column) -> Column:
-        befores = F.concat(F.array(F.lit(0)), F.transform(s["cut"], lambda c: c["stop"]))
-        afters = F.concat(F.transform(s["cut"], lambda c: c["start"]), F.array(s["size"]))
-        return F.array_join(F.zip_with(befores, afters, lambda b, a: piece(s["parts"], b, a)), mask)
+        return let(begins, lambda b: F.zip_with(b, ends(b), lambda k, stop: F.struct(k["start"].alias("start"), stop.alias("stop"))))
 
-    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PART}}}"), F.lit(0))
-    return _let(F.struct(parts.alias("parts"), cut.alias("cut"), F.char_length(text).alias("size")), build)
+    return let(F.array_sort(spans), covered)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
@@ -195,7 +167,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", scope: int = SCOPE) -> DataF
     spans = spans.dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", _covered(F.col("spans")).alias("cut")).alias("found")
     tag = _tag(F.coalesce(F.col("own.text"), F.lit("")))
     joined = docs.alias("own").join(spans, F.col("own.doc_id").eqNullSafe(F.col("found.doc_id")) & (tag == F.col("found.tag")), "left")
-    text = F.when(F.col("found.cut").isNull() | F.col("own.text").isNull(), F.col("own.text")).otherwise(_without(F.col("own.text"), F.col("found.cut"), mask))
+    text = F.when(F.col("found.cut").isNull() | F.col("own.text").isNull(), F.col("own.text")).otherwise(without(F.col("own.text"), F.col("found.cut"), mask))
     return joined.select(*columns_of(docs, "own", text=text))
 
 

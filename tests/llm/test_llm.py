@@ -231,7 +231,7 @@ def test_chunk_dedup(docs, held):
     rows = sorted(held, key=lambda r: (r[0] is not None, r[0] or 0))
     want = brute_removed(rows)
     got = chunk_dedup.dedup_substrings(docs)
-    assert [c for c in got.columns if c not in chunk_dedup.ADDED] == [c for c in docs.columns if c not in ("spans", "tag", "removed")]
+    assert [c for c in got.columns if c not in chunk_dedup.ADDED] == [c for c in docs.columns if c != "removed"]
     got = got.collect()
     texts = dict(rows)
     assert len(got) == len(rows)
@@ -250,11 +250,38 @@ def test_chunk_dedup(docs, held):
 def test_chunks_resist_insertions():
     rng = random.Random(8)
     text = words(rng, 2000)
-    a = {d for *_, d in brute_chunks(text)}
-    b = {d for *_, d in brute_chunks("three more words " + text[:5000] + "inserted " + text[5000:])}
+    owner, *_, digests = chunk_dedup.chunks([text, "three more words " + text[:5000] + "inserted " + text[5000:]])
+    a, b = ({tuple(d) for d in digests[owner == k].tolist()} for k in range(2))
     assert len(a & b) > 0.97 * len(a)
 
 
+@pytest.mark.parametrize("combined", [1 << 19, 40])
+def test_chunks_of_many_tasks(spark, combined, monkeypatch):
+    """A passage that half of all rows hold, over tasks that combine few chunks at a time; ids are null for many, and columns have any names."""
+    monkeypatch.setattr(chunk_dedup, "COMBINED", combined)
+    rng = random.Random(7)
+    passage = words(rng, 60)
+    rows = [(k if k % 3 else None, words(rng, 30) + "\n" + (passage + "\n" if k % 2 else "") + words(rng, 30)) for k in range(120)]
+    rows += [(5, words(rng, 40)), (5, rows[7][1]), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "doc_id long, text string, tag int, spans int, `a.b` int, removed string").repartition(6)
+    tags = {r.t: r.h for r in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tags[r[1] or ""]))
+    want = brute_removed([((i, t), t or "") for i, t in order])
+    got = chunk_dedup.dedup_substrings(df)
+    assert "tag" in got.columns and "a.b" in got.columns and got.count() == len(rows)
+    left = {}
+    for i, t in rows:
+        kept, at = "", 0
+        for s, e in want[i, t]:
+            kept, at = kept + t[at:s], e
+        left[i, t] = None if t is None else kept + t[at:]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, left[i, t]) for i, t in rows)
+    assert sum(passage[20:-80] in (x or "") for x in left.values()) == 1
+    stage = chunk_dedup.without_repeats(df)
+    assert stage.columns == df.columns and stage.schema == df.schema
+    assert Counter((r.doc_id, r.text) for r in stage.collect()) == Counter((i, left[i, t]) for i, t in rows if not t or left[i, t].strip())
+
+
 def test_repeated_rows_are_one_document(spark):
     rng = random.Random(1)
     t = words(rng, 100)

@@ -111,10 +111,21 @@ def released() -> None:
         pass  # another C library keeps its own counsel
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's own folder if it names one, else (tests) a temporary one."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+def shared_checkpoints(spark: SparkSession) -> str:
+    """Make checkpoint() usable and return its folder: the cluster's own if it names one, else, on one machine (tests), a temporary one.
+
+    The folder is this application's own and goes when it ends.
+    """
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
+    folder = context.getCheckpointDir().get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -123,6 +134,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a ``checkpointed`` table that nothing reads any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list, list], Iterator[dict]]], schema: str) -> DataFrame:
     """Map (doc_id, text) rows block by block.
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, split_join
+from .common import checkpointed, forget, split_join
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for each node of ``edges`` (a long, b long): label is the component's smallest node.
+    """(node, label) for each node of ``edges`` (a long, b long): label is the component's smallest node.  No edges: no rows.
 
     Every round links nodes to the smallest neighbour they know; rounds are
     kept in the shared checkpoint folder, and end when the edge set stays as
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = split_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = split_join(large, least, "u")
-        stars = checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, stars = stars, checkpointed(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(old)
         was, state = state, _state(stars)
         if was == state:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -4,9 +4,11 @@ Two fingerprints that differ in at most ``most`` bits agree on at least
 ``blocks - most`` of ``blocks`` bit blocks.  So each distinct fingerprint goes
 under one key for each choice of that many blocks, fingerprints are joined on
 those keys, and the join is verified by Hamming distance.  Inside a key only a
-spanning forest of the close pairs is emitted, never all pairs; a key with
-more than ``bucket`` fingerprints is dealt out as pairs of its parts, so no
-task holds more than two parts and no link is lost.
+spanning forest of the close pairs is emitted, never all pairs.  A key with
+more than ``bucket`` fingerprints is split by the same rule again: they agree
+on the bits of the key, so the bits that it leaves free are cut into blocks.
+Keys end at FREE free bits, which as many fingerprints as a bucket holds can
+fill; so no task holds more than a bucket, and no link is lost.
 """
 
 from __future__ import annotations
@@ -16,14 +18,18 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import mix
 from .common import checkpointed, map_rows, split_join, text_or_empty, with_package
 from .components import components
 
 #: Seed of the shingle hash.
 SEED = 42
+#: Fingerprints in a key that are compared at once, and the free bits whose values they are.
+FREE = 12
+BUCKET = 1 << FREE
 
 
 def text_fingerprint(text: str, width: int = 4) -> int:
@@ -61,12 +67,14 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return map_rows(text_or_empty(docs, "doc_id"), make, "doc_id long, bits long")
 
 
-def block_masks(blocks: int, most: int) -> list[int]:
-    """Signed 64-bit masks, one for each choice of blocks - most blocks."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    each = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(each, blocks - most)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def block_masks(blocks: int, most: int, mask: int = 0) -> list[int]:
+    """64-bit masks, one for each choice of blocks - most blocks of the bits that ``mask`` leaves free, with ``mask``; all 64 bits if there are no more bits than blocks."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= blocks:
+        return [(1 << 64) - 1]
+    edges = [round(len(free) * i / blocks) for i in range(blocks + 1)]
+    each = [sum(1 << b for b in free[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+    return [mask | sum(c) for c in combinations(each, blocks - most)]
 
 
 def blocks_for(n: int, most: int) -> int:
@@ -95,55 +103,83 @@ def forest(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def links(distinct: DataFrame, most: int = 4, blocks: int | None = None, bucket: int = 4096) -> DataFrame:
-    """(a, b) edges whose components are those of all pairs of ``distinct`` (bits) within ``most`` bits."""
-    blocks = blocks or blocks_for(distinct.count(), most)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("bits").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks, most))))
-    keyed = with_package(distinct).select("bits", F.explode(keys).alias("key")).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    parts = F.ceil(F.col("n") / bucket)
-    own = F.pmod(F.xxhash64("bits", F.lit("part")), parts)
-    dealt = (
-        keyed.select("key", "bits", parts.alias("parts"), own.alias("own"))
-        .select("key", "bits", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "bits")
-        .repartition("key", "p", "q")
-        .sortWithinPartitions("key", "p", "q", "bits")
-    )
+def runs_of(rows: Iterator[pa.RecordBatch], key: int) -> Iterator[np.ndarray]:
+    """Rows sorted by their first ``key`` columns, all long, as arrays that end where a key does."""
+    held: list[np.ndarray] = []
+    for batch in rows:
+        now = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+        if not len(now):
+            continue
+        if held and (held[-1][-1, :key] != now[0, :key]).any():
+            yield np.concatenate(held)
+            held = []
+        same = (now[:, :key] == now[-1, :key]).all(axis=1)
+        cut = 0 if same.all() else len(now) - int(np.argmin(same[::-1]))
+        if cut:
+            yield np.concatenate([*held, now[:cut]])
+            held = []
+        held.append(now[cut:])
+    if held:
+        yield np.concatenate(held)
+
+
+def _keyed(rows: DataFrame, blocks: int, most: int) -> DataFrame:
+    """(bits, mask, key) for each mask that splits ``rows`` (bits, mask) further; key: a hash of mask and the bits it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros((0, 4), np.int64)]
-
-        def edges(rows: np.ndarray) -> pa.RecordBatch:
-            new = np.ones(len(rows) + 1, bool)
-            new[1:-1] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
-            at = np.flatnonzero(new)
-            size, bits = np.diff(at), rows[:, 3].copy().view(np.uint64)
-            two = at[:-1][size == 2]
-            near = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= most]
-            left, right = [bits[near]], [bits[near + 1]]
-            for s, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                a, b = forest(bits[s : s + n], most)
-                left.append(a)
-                right.append(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.uint64).view(np.int64)) for x in (left, right)], names=["a", "b"])
-
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
-            if not len(rows):
-                continue
-            same = (rows[:, :3] == rows[-1, :3]).all(axis=1)
-            cut = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield edges(np.concatenate([*held, rows[:cut]]))
-                held = [rows[cut:]]
-            elif (held[-1][-1:, :3] == rows[:1, :3]).all():
-                held.append(rows)
-            else:
-                yield edges(np.concatenate(held))
-                held = [rows]
-        yield edges(np.concatenate(held))
-
-    return dealt.mapInArrow(run, "a long, b long")
+            bits, masks = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            for m in np.unique(masks).tolist():
+                if m not in known:
+                    known[m] = np.array(block_masks(blocks, most, m), np.uint64)
+                own, new = bits[masks == m], known[m]
+                step = max(1, (1 << 18) // len(new))
+                for at in range(0, len(own), step):
+                    some = np.repeat(own[at : at + step], len(new))
+                    to = np.tile(new, len(some) // len(new))
+                    key = mix(mix(to) + (some & to))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (some, to, key)], names=["bits", "mask", "key"])
+
+    return with_package(rows).select("bits", "mask").mapInArrow(run, "bits long, mask long, key long")
+
+
+def _forests(keyed: DataFrame, most: int) -> DataFrame:
+    """(a, b) edges of a spanning forest of the close pairs of each key of ``keyed`` (bits, key)."""
+
+    def edges(rows: np.ndarray) -> pa.RecordBatch:
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = rows[1:, 0] != rows[:-1, 0]
+        at = np.flatnonzero(new)
+        size, bits = np.diff(at), rows[:, 1].copy().view(np.uint64)
+        two = at[:-1][size == 2]
+        near = two[np.bitwise_count(bits[two] ^ bits[two + 1]) <= most]
+        left, right = [bits[near]], [bits[near + 1]]
+        for s, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            a, b = forest(bits[s : s + n], most)
+            left.append(a)
+            right.append(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.uint64).view(np.int64)) for x in (left, right)], names=["a", "b"])
+
+    return keyed.select("key", "bits").repartition("key").sortWithinPartitions("key", "bits").mapInArrow(lambda batches: map(edges, runs_of(batches, 1)), "a long, b long")
+
+
+def links(distinct: DataFrame, most: int = 4, blocks: int | None = None, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) edges whose components are those of all pairs of ``distinct`` (bits) within ``most`` bits."""
+    blocks, found = blocks or blocks_for(distinct.count(), most), None
+    rows = distinct.select("bits", F.lit(0).cast("long").alias("mask"))
+    while True:
+        keyed = _keyed(rows, blocks, most)
+        # keys are counted, with the counts combined before the shuffle, and joined so that a key of many rows can be split
+        counts = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        shared = split_join(keyed, counts, "key")
+        last = F.bit_count("mask") >= 64 - FREE
+        edges = _forests(shared.where((F.col("n") <= bucket) | last), most)
+        found = edges if found is None else found.unionByName(edges)
+        if counts.where(F.col("n") > bucket).isEmpty():
+            return found
+        rows = checkpointed(shared.where((F.col("n") > bucket) & ~last).select("bits", "mask"))
+        blocks = most + 2
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, blocks: int | None = None) -> DataFrame:

@@ -638,6 +638,25 @@ def test_links_keep_every_component(spark, bucket):
 def test_blocks_grow_with_the_corpus():
     assert simhash.blocks_for(1000, 4) == 6 and simhash.blocks_for(10**8, 4) == 7 and simhash.blocks_for(10**10, 4) == 8
     assert len(simhash.block_masks(7, 4)) == 35
+    for mask in (0, 0xFFFF0000FFFF, (1 << 50) - 1):
+        free = 64 - mask.bit_count()
+        masks = simhash.block_masks(6, 4, mask)
+        assert len(masks) == 15 and all(m & mask == mask and free // 3 - 1 <= (m ^ mask).bit_count() <= free // 3 + 2 for m in masks)
+    assert simhash.block_masks(6, 4, (1 << 58) - 1) == [(1 << 64) - 1]
+
+
+def test_a_key_that_half_of_all_fingerprints_share(spark):
+    """No bucket holds them; they are split by the bits that the key leaves free."""
+    rng = random.Random(3)
+    low = sorted({rng.getrandbits(30) for _ in range(600)} | {1 << k for k in range(20)})
+    prints = low + [rng.getrandbits(64) for _ in range(600)]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    label = {r.node: r.label for r in components.components(simhash.links(spark.createDataFrame([(p,) for p in signed], "bits long"), 4, 6, 64)).collect()}
+    want = brute_components(prints, 4)
+    of = defaultdict(set)
+    for p, c in zip(signed, want, strict=True):
+        of[label.get(p, p)].add(c)
+    assert all(len(x) == 1 for x in of.values()) and len(of) == len(set(want))
 
 
 def test_components_of_long_chains(spark):

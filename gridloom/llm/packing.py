@@ -6,10 +6,12 @@ the fill level for which the sum over levels of (number of windows at that
 level) squared becomes least, opening a new window when that is least.  The
 levels are one array, so a placement is one vector expression.
 
-Windows that stay partly filled when a task ends, or when ``most_open`` of
-them are open (sizes that never fit together), are settled: their pieces are
-laid end to end and cut at window ends.  So at most one window a task keeps
-padding, and a task holds at most ``most_open`` windows of ids.
+When a task ends, or ``most_open`` windows are open (sizes that never fit
+together), the emptiest open windows are taken apart and their pieces placed
+again by the same rule, but into open windows only; a piece that fits none is
+cut to fill the fullest one.  So at most one window a task keeps padding, a
+task holds at most ``most_open`` windows of ids, and windows keep what the
+rule put into them, but for the few that are taken apart.
 """
 
 from __future__ import annotations
@@ -31,21 +33,22 @@ Piece = tuple[int | None, int, int, np.ndarray]  # doc_id, start, doc_tokens, id
 class SumOfSquares:
     """Windows of ``size`` ids, filled online; ``full`` are finished windows (lists of pieces)."""
 
-    def __init__(self, size: int = 1024, most_open: int = 2048) -> None:
+    def __init__(self, size: int = 1024, most_open: int = 8192) -> None:
         self.size, self.most_open = size, most_open
         self.levels = np.zeros(size + 1, np.int64)  # windows at each fill level; the full ones do not count
         self.open: dict[int, list[list[Piece]]] = {}
         self.n_open = 0
         self.full: list[list[Piece]] = []
+        self.moved = 0  # ids placed again
 
-    def level_for(self, n: int) -> int:
-        """The level that a piece of n < size ids goes to; 0 is a new window.  Ties: the fullest."""
+    def level_for(self, n: int, new: bool = True) -> int:
+        """The level that a piece of n < size ids goes to; 0 is a new window, or none if that is not allowed.  Ties: the fullest."""
         fits = self.levels[1 : self.size - n + 1]
         change = 2 * (self.levels[1 + n : self.size + 1] - fits) + 2
         change[-1] -= 1  # a window that gets full leaves the sum
         change = np.where(fits > 0, change, np.iinfo(np.int64).max)
         best = len(change) - 1 - int(np.argmin(change[::-1]))
-        return best + 1 if fits[best] and change[best] <= 2 * self.levels[n] + 1 else 0
+        return best + 1 if fits[best] and (not new or change[best] <= 2 * self.levels[n] + 1) else 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         total, cut = len(ids), len(ids) - len(ids) % self.size
@@ -55,47 +58,48 @@ class SumOfSquares:
             self._place((doc_id, cut, total, ids[cut:].copy()))
 
     def _place(self, piece: Piece) -> None:
-        n = len(piece[3])
-        level = self.level_for(n)
-        if level:
-            window = self.open[level].pop()
-            self.levels[level] -= 1
-            self.n_open -= 1
-        else:
-            window = []
+        self._put(piece, self.level_for(len(piece[3])))
+        if self.n_open > self.most_open:
+            self._settle(self.most_open // 2)
+
+    def _put(self, piece: Piece, level: int) -> None:
+        """Into a window of ``level``, or a new one for 0."""
+        window = self._take(level) if level else []
         window.append(piece)
-        if level + n == self.size:
+        if level + len(piece[3]) == self.size:
             self.full.append(window)
             return
-        self._keep(level + n, window)
-        if self.n_open > self.most_open:
-            self._settle()
-
-    def _keep(self, level: int, window: list[Piece]) -> None:
+        level += len(piece[3])
         self.open.setdefault(level, []).append(window)
         self.levels[level] += 1
         self.n_open += 1
 
-    def _settle(self) -> None:
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        self.open, self.n_open = {}, 0
-        self.levels[:] = 0
-        window, room = [], self.size
-        for doc_id, start, total, ids in pieces:
-            while len(ids):
-                window.append((doc_id, start, total, ids[:room]))
-                start, ids, room = start + len(window[-1][3]), ids[room:], room - len(window[-1][3])
-                if not room:
-                    self.full.append(window)
-                    window, room = [], self.size
-        if window:
-            self._keep(self.size - room, window)
+    def _take(self, level: int) -> list[Piece]:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _settle(self, most: int) -> None:
+        """Take the emptiest windows apart until at most ``most`` are open."""
+        while self.n_open > most:
+            for doc_id, start, total, ids in self._take(int(np.argmax(self.levels > 0))):
+                self.moved += len(ids)
+                while len(ids):
+                    level = self.level_for(len(ids), new=False)
+                    if not level and self.n_open:  # it fits none: cut it to fill the fullest
+                        level = int(np.flatnonzero(self.levels)[-1])
+                        if self.size - level > len(ids):
+                            level = 0
+                    room = self.size - level if level else self.size
+                    self._put((doc_id, start, total, ids[:room]), level)
+                    start, ids = start + min(room, len(ids)), ids[room:]
 
     def finish(self) -> None:
         """Settle what is open; at most one window then is not full."""
-        self._settle()
+        self._settle(1)
         self.full += [w for ws in self.open.values() for w in ws]
-        self.open = {}
+        self.open, self.n_open = {}, 0
+        self.levels[:] = 0
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0) -> DataFrame:

@@ -1,8 +1,9 @@
 """Two-pass external shuffle into shards.
 
 First pass: records are scattered uniformly over memory-sized buckets by a
-seeded hash of doc_id and text.  Second pass: each bucket is shuffled in
-memory by Fisher-Yates.  Buckets laid end to end are one random permutation of
+seeded hash of doc_id and text, in which rows that repeat both very often are
+told apart by their place in the input.  Second pass: each bucket is shuffled
+in memory by Fisher-Yates.  Buckets laid end to end are one random permutation of
 the corpus; records are dealt from it to the shards in turn, so shards differ
 by at most one row and each is a random sample.
 """
@@ -11,14 +12,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StringType, StructField, StructType
 
-from .common import checkpointed, with_package
+from .common import checkpointed, columns_of, split_join, with_package
 
-#: Bytes of text in a bucket; a task holds one bucket and its shuffled copy.
+#: Bytes in a bucket, about; a task holds one bucket and its shuffled copy.
 BUCKET_BYTES = 16 << 20
+#: Rows that repeat a doc_id and text are told apart if they are more than this share of a bucket.
+HOT_SHARE = 1 / 16
+#: Buckets whose sizes are added up in one task at a time.
+SUMMED = 4096
 #: Columns that ``external_shuffle`` adds; columns of these names in its input are left behind.
 ADDED = ("shard", "slot", "bucket", "place")
 
@@ -34,38 +39,66 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.array(items, np.int64)
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row, about: texts as they are, nested values as JSON, and 64 for the rest."""
+    sized = F.lit(64).cast("long")
+    for f in df.schema.fields:
+        value = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, StringType | BinaryType):
+            sized += F.coalesce(F.octet_length(value), F.lit(0))
+        elif isinstance(f.dataType, ArrayType | MapType | StructType):
+            sized += F.coalesce(F.octet_length(F.to_json(F.struct(value.alias("v")))), F.lit(0))
+    return sized
+
+
+def _before(sizes: DataFrame) -> DataFrame:
+    """(bucket, before): rows in all buckets before each one of ``sizes`` (bucket, n); sums of SUMMED buckets are added up first."""
+    ahead = lambda over, n: F.coalesce(F.sum(n).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = sizes.withColumn("many", F.call_function("div", F.col("bucket"), F.lit(SUMMED)))
+    whole = grouped.groupBy("many").agg(F.sum("n").alias("n")).select("many", ahead(Window.orderBy("many"), "n").alias("start"))
+    own = grouped.select("many", "bucket", ahead(Window.partitionBy("many").orderBy("bucket"), "n").alias("inside"))
+    return own.join(whole, "many").select("bucket", (F.col("start") + F.col("inside")).alias("before"))
+
+
 def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` (doc_id, text, other columns) with shard, slot (gapless from 0 in its shard), bucket and place (in its bucket).
 
-    The same rows and seed give the same result however they are partitioned.
-    Null and empty texts are rows like any other, null doc_ids too; rows that
-    repeat both doc_id and text share a bucket (they are told apart by their
-    other columns, or not at all); an empty table gives none.
+    The same rows and seed give the same result however they are partitioned,
+    unless rows of one doc_id and text (null ids and texts, say) are more than
+    a bucket should hold: these are dealt by their place in the input, so the
+    same files give the same result.  Equal texts are rows like any other and
+    may go to different shards: the law counts rows alone.  Null and empty
+    texts, null doc_ids and repeated rows are kept; an empty table gives none;
+    other columns pass through, but for those called as ADDED.
     """
-    own = with_package(docs).drop(*ADDED, "_order", "_before")
+    own = with_package(docs).drop(*ADDED)
     text = F.coalesce(F.col("text"), F.lit(""))
-    scatter = F.xxhash64(F.lit(seed), F.col("doc_id"), text)
-    total = own.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
+    bytes_ = _row_bytes(own)
+    total = own.agg(F.sum(bytes_)).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
-    dealt = own.withColumn("bucket", F.pmod(scatter, F.lit(buckets)).cast("long"))
-    # rows before each bucket: one row a bucket, so this table has total / bucket_bytes rows
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = checkpointed(dealt.groupBy("bucket").agg(F.count("*").alias("n"))).select("bucket", before.alias("_before"))
-    schema = StructType([*dealt.schema.fields, StructField("place", LongType()), StructField("_before", LongType())])
-    names = [f.name for f in schema.fields]
+    # rows as one column, so that no name of theirs clashes
+    ordered = [f"`{f.name.replace('`', '``')}`" for f in own.schema.fields if not f.dataType.simpleString().startswith(("map", "void")) and "map<" not in f.dataType.simpleString()]
+    packed = own.select(F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("scatter"), bytes_.alias("bytes"), F.xxhash64(F.lit(seed + 1), *map(F.col, ordered)).alias("order"), F.monotonically_increasing_id().alias("turn"), F.struct(*columns_of(own)).alias("row"))
+    hot = own.select(F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("scatter"), bytes_.alias("bytes")).groupBy("scatter").agg(F.count("*").alias("copies"), F.sum("bytes").alias("held"))
+    hot = checkpointed(hot.where((F.col("copies") > 1) & (F.col("held") > bucket_bytes * HOT_SHARE)).select("scatter", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        mixed = packed.withColumn("bucket", F.pmod("scatter", F.lit(buckets)).cast("long"))
+    else:
+        told = F.when(F.col("hot"), F.xxhash64("scatter", "turn")).otherwise(F.col("scatter"))
+        mixed = split_join(packed, hot, "scatter", "left").withColumn("bucket", F.pmod(told, F.lit(buckets)).cast("long"))
+    sizes = checkpointed(mixed.groupBy("bucket").agg(F.count("*").alias("n")))
+    done_schema = StructType([StructField("row", own.schema), StructField("bucket", LongType()), StructField("place", LongType()), StructField("before", LongType())])
 
     def shuffle(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         # the arrival order is no property of the rows: sort first, then shuffle
-        table = table.take(pa.array(np.argsort(table.column("_order").to_numpy(), kind="stable")))
+        table = table.take(pa.array(np.lexsort((table.column("turn").to_numpy(), table.column("order").to_numpy()))))
         table = table.take(pa.array(fisher_yates(table.num_rows, seed * 1_000_003 + bucket)))
-        table = table.append_column("place", pa.array(np.arange(table.num_rows)))
-        return table.select(names)
+        return table.append_column("place", pa.array(np.arange(table.num_rows))).select(["row", "bucket", "place", "before"])
 
-    mixed = dealt.withColumn("_order", F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c in own.columns if not dict(own.dtypes)[c].startswith(("map", "void"))]))
-    done = mixed.join(sizes, "bucket").groupBy("bucket").applyInArrow(shuffle, schema)
-    rank = F.col("_before") + F.col("place")
-    return done.select(*[F.col(f"`{c}`") for c in own.columns], F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), F.call_function("div", rank, F.lit(shards)).alias("slot"), "bucket", "place")
+    done = mixed.select("row", "order", "turn", "bucket").join(_before(sizes), "bucket").groupBy("bucket").applyInArrow(shuffle, done_schema)
+    rank = F.col("before") + F.col("place")
+    return done.select("row.*", F.pmod(rank, F.lit(shards)).cast("int").alias("shard"), F.call_function("div", rank, F.lit(shards)).alias("slot"), "bucket", "place")
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:

@@ -16,11 +16,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .arrays import BLOCK_CHARS, U64, code_points, mix, span_hash
 from .common import released, text_or_empty, with_package
@@ -29,8 +27,8 @@ from .common import released, text_or_empty, with_package
 FLOOR = 3
 #: Minimum hashes in a fingerprint, 16 bits each; EMPTY marks one without a phrase.
 SLOTS, EMPTY = 64, 0xFFFF
-#: Bytes of text in a part that is sorted and fingerprinted together, and the most parts.
-PART_BYTES, MOST_PARTS = 16 << 20, 1 << 16
+#: Bytes of text in a part that is sorted and fingerprinted in one task, about.
+PART_BYTES = 64 << 20
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -115,66 +113,87 @@ def fingerprint_documents(docs: DataFrame, part_bytes: int = PART_BYTES) -> Data
 
     The edited text has the last floor(n_chars / 2) code points replaced by
     the first as many of the next row's, in order of doc_id (nulls first, ties
-    by text; the last row's next is the first).  Null texts count as empty;
-    two empty texts have likeness 1, an empty and another one 0 unless the
-    other is empty too; repeated rows are each other's next; a single row is
-    its own; an empty table gives none; other columns are not read.
-
-    Rows are dealt to ranges of doc_id that each start at a doc_id of the
-    table; the row a range starts with goes to the range before too, as the
-    next of its last.  Each text is shuffled once.
+    by a hash of the text; the last row's next is the first).  Null texts
+    count as empty; two empty texts have likeness 1, an empty and another one
+    0 unless the other is empty too; repeated rows are each other's next; a
+    single row is its own; an empty table gives none; other columns are not
+    read.
+
+    Rows are dealt to ranges in that order, in which repeated rows are told
+    apart by a random number: no doc_id or text is too frequent for a range.
+    A range's last row meets its next, the first of the range after it, by a
+    join of these rows only; so each text is shuffled once.
     """
+    if docs.sparkSession.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        raise ValueError("spark.sql.exchange.reuse must be true: all parts of this plan read one shuffle, whose ranges are drawn once")
     own = text_or_empty(with_package(docs), "doc_id")
-    size, least = own.agg(F.sum(F.octet_length("text") + 64), F.min("doc_id")).first()
-    parts = max(1, min(MOST_PARTS, -(-int(size or 0) // part_bytes)))
-    cuts = [] if least is None or parts == 1 else own.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * max(parts, 1000))).first()[0]
-    starts = [] if least is None else sorted({least, *cuts})
-    bounds = np.array(starts, np.int64)
+    size = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    parts = max(own.sparkSession.sparkContext.defaultParallelism, -(-int(size) // part_bytes))
+    order = (F.asc_nulls_first("doc_id"), F.asc("tie"), F.asc("turn"))
+    dealt = own.select("doc_id", F.xxhash64("text").alias("tie"), F.rand(17).alias("turn"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
+    ends = dealt.mapInArrow(_ends, "part int, last boolean, doc_id long, text string")
+    heads = ends.where("NOT last").select("part", F.col("text").alias("next"))
+    # one number a range, and that of the next one with rows
+    number = ends.where("last").select("part")
+    after = number.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.first("part").over(Window.orderBy("part"))).alias("head"))
+    tails = ends.where("last").select("part", "doc_id", "text").join(after, "part").join(heads.withColumnRenamed("part", "head"), "head")
+    return dealt.mapInArrow(_run, SCHEMA).unionByName(tails.select("doc_id", "text", "next").mapInArrow(_pairs, SCHEMA))
 
-    def part_of(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64) if ids.dtype != np.int64 else ids.to_numpy()
-        return pd.Series(np.maximum(np.searchsorted(bounds, known, "right") - 1, 0).astype(np.int32))
 
-    part, n = F.pandas_udf(part_of, IntegerType())("doc_id"), max(1, len(starts))
-    leads = F.col("doc_id").isNull() | F.col("doc_id").isin(starts) if starts else F.lit(True)
-    dealt = own.withColumn("part", part).select(
-        F.explode(F.when(leads, F.array(F.struct("part", F.lit(0).alias("ahead")), F.struct(F.pmod(F.col("part") - 1, F.lit(n)).alias("part"), F.lit(1).alias("ahead")))).otherwise(F.array(F.struct("part", F.lit(0).alias("ahead"))))).alias("to"), "doc_id", "text"
-    )
-    sorted_ = dealt.select("to.part", "to.ahead", "doc_id", "text").repartition("part").sortWithinPartitions("part", "ahead", F.asc_nulls_first("doc_id"), "text")
-    return sorted_.mapInArrow(_run, SCHEMA)
+_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+
+
+def _measured(ids: list[int | None], texts: list[str], following: list[str], prints: np.ndarray, next_prints: np.ndarray) -> pa.RecordBatch:
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=True)]
+    changed = fingerprints(edited)
+    sha = [hashlib.sha256(e.encode()).hexdigest() for e in edited]
+    out = [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array(sha, pa.string()), pa.array(written(prints), pa.string()), pa.array(written(changed), pa.string())]
+    return pa.RecordBatch.from_arrays([*out, pa.array(likeness(prints, changed), pa.float64()), pa.array(likeness(prints, next_prints), pa.float64())], names=_NAMES)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by part, the part's own first and then its next; each is finished when the one after it is seen."""
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    """All rows of a range but the last, each finished when the one after it is seen."""
     ids: list[int | None] = []
     texts: list[str] = []
+    chars = 0
+
+    def finish() -> pa.RecordBatch:
+        """All held rows but the last, which stays as the next block's first."""
+        prints = fingerprints(texts)
+        out = _measured(ids[:-1], texts[:-1], texts[1:], prints[:-1], prints[1:])
+        del ids[:-1], texts[:-1]
+        return out
 
-    def finish(last: str | None) -> pa.RecordBatch:
-        """All held rows but the last, which stays as the next block's first; with ``last``, its next, all of them."""
-        n = len(ids) - (last is None)
-        following = [*texts[1:], *([] if last is None else [last])][:n]
-        edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=False)]
-        plain = fingerprints([*texts, *([] if last is None else [last])])
-        changed = fingerprints(edited)
-        sha = [hashlib.sha256(e.encode()).hexdigest() for e in edited]
-        out = [pa.array(ids[:n], pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array(sha, pa.string()), pa.array(written(plain[:n]), pa.string()), pa.array(written(changed), pa.string())]
-        out += [pa.array(likeness(plain[:n], changed), pa.float64()), pa.array(likeness(plain[:n], plain[1 : n + 1]), pa.float64())]
-        del ids[:n], texts[:n]
-        return pa.RecordBatch.from_arrays(out, names=names)
-
-    at, chars = None, 0
     for batch in batches:
-        for part, ahead, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if ahead:
-                if part == at and ids:
-                    yield finish(text.as_py())
-                continue
-            at = part
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             ids.append(doc_id)
             texts.append(text.as_py())
             chars += len(texts[-1])
             if chars >= BLOCK_CHARS and len(ids) > 1:
                 chars = len(texts[-1])
-                yield finish(None)
+                yield finish()
+    if len(ids) > 1:
+        yield finish()
+    released()
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last row of a range, with its number."""
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first = first or [c[0].as_py() for c in batch.columns]
+            last = batch.slice(batch.num_rows - 1)
+    if first:
+        ids, texts = [first[0], last.column(0)[0].as_py()], [first[1], last.column(1)[0].as_py()]
+        yield pa.RecordBatch.from_arrays([pa.array([first[2]] * 2, pa.int32()), pa.array([False, True]), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["part", "last", "doc_id", "text"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come with their next."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text, following = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+            prints = fingerprints([text, following])
+            yield _measured([batch.column(0)[k].as_py()], [text], [following], prints[:1], prints[1:])
     released()

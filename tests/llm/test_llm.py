@@ -364,7 +364,9 @@ def test_sum_of_squares_rule():
             p.add(k, np.arange(n))
             total += n
             assert p.n_open <= most_open
+        placed = p.moved
         p.finish()
+        assert most_open < 100 or (placed == 0 and p.moved < 0.2 * total)
         assert sum(len(x[3]) for w in p.full for x in w) == total and sum(32 - sum(len(x[3]) for x in w) for w in p.full) < 32
 
 
@@ -506,6 +508,39 @@ def test_external_shuffle(docs, held, tmp_path):
     assert sharding.external_shuffle(empty(docs)).collect() == []
 
 
+def test_external_shuffle_of_rows_that_half_of_all_are(spark):
+    rows = [(None, None, "a")] * 600 + [(k, words(random.Random(k), 5), "b") for k in range(600)]
+    df = spark.createDataFrame([(*r, k, k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, `order` int, `a.b` int").repartition(4)
+    out = sharding.external_shuffle(df, bucket_bytes=2000)
+    got = out.collect()
+    assert Counter(r[:5] for r in map(tuple, got)) == Counter(map(tuple, df.collect())) and out.columns[:5] == df.columns
+    assert max(Counter(r.bucket for r in got).values()) < 80
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(150)) for s in slots.values()) and len(slots) == 8
+
+
+def test_shuffle_by_an_independent_version(docs, held):
+    """Buckets by the seeded hash, sorted by the order hash, shuffled by a Fisher-Yates of its own, laid end to end and dealt."""
+    own = docs.drop(*sharding.ADDED)
+    total = sum(64 + sum(len((r[c] or "").encode()) for c in own.columns if dict(own.dtypes)[c] == "string") for r in own.collect())
+    buckets = max(1, -(-total // 4000))
+    rows = own.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(42), "doc_id", F.coalesce("text", F.lit(""))).alias("s"), F.xxhash64(F.lit(43), *own.columns).alias("o")).collect()
+    lists = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.o):
+        lists[r.s % buckets].append((r.doc_id, r.text))
+    line = []
+    for b in sorted(lists):
+        items, n = lists[b], len(lists[b])
+        swaps = np.random.default_rng(42 * 1_000_003 + b).integers(0, np.arange(1, n + 1))
+        for i in range(n - 1, 0, -1):
+            items[i], items[swaps[i]] = items[swaps[i]], items[i]
+        line += items
+    got = {(r.shard, r.slot): (r.doc_id, r.text or "") for r in sharding.external_shuffle(docs, shards=8, bucket_bytes=4000).collect()}
+    assert got == {(k % 8, k // 8): x for k, x in enumerate(line)}
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(4, s).tolist()) for s in range(4800))
     assert len(seen) == 24 and max(seen.values()) < 280 and min(seen.values()) > 130
@@ -515,21 +550,81 @@ def test_fisher_yates_is_uniform():
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 
+def brute_parse(text):
+    """The names of phrases from level FLOOR up, parsed one symbol at a time."""
+    m64 = (1 << 64) - 1
+
+    def mixed(x):
+        return int(arrays.mix(np.array([x & m64], np.uint64))[0])
+
+    def named(symbols):
+        return int(arrays.span_hash(np.array(symbols, np.uint64), np.array([0]), np.array([len(symbols)]))[0])
+
+    symbols, level, before, out = [mixed(ord(c) + 0xA11CE) for c in text], 0, -1, []
+    while symbols and (level <= parse_fingerprints.FLOOR or len(symbols) != before):
+        before, runs = len(symbols), []
+        for s in symbols:
+            if runs and runs[-1][0] == s:
+                runs[-1][1] += 1
+            else:
+                runs.append([s, 1])
+        symbols = [s if n == 1 else mixed(s * 0x9FB21C651E98DF25 + n) for s, n in runs]
+        colours = symbols
+        for width in (64, 8, 8, 8):
+            tossed = []
+            for k, c in enumerate(colours):
+                other = colours[k - 1] if k else ~c & ((1 << width) - 1)
+                differ = c ^ other
+                bit = (differ & -differ).bit_length() - 1 if differ else width  # two like colours: no bit
+                tossed.append(2 * bit + (c >> bit & 1))
+            colours = tossed
+        cuts = [k for k in range(len(symbols)) if k == 0 or (k < len(symbols) - 1 and colours[k] > colours[k - 1] and colours[k] >= colours[k + 1])]
+        phrases = [symbols[a:b] for a, b in zip(cuts, [*cuts[1:], len(symbols)], strict=True)]
+        symbols = [p[0] if len(p) == 1 else named(p) for p in phrases]
+        level += 1
+        if level >= parse_fingerprints.FLOOR:
+            out += symbols
+    return out
+
+
+def brute_fingerprint(text):
+    least = {}
+    for n in brute_parse(text):
+        h = int(arrays.mix(np.array([n ^ 0x5EED], np.uint64))[0])
+        least[h >> 58] = min(least.get(h >> 58, 1 << 64), h & ((1 << 58) - 1))
+    slots = [int(arrays.mix(np.array([least[k]], np.uint64))[0]) % 0xFFFF if k in least else 0xFFFF for k in range(parse_fingerprints.SLOTS)]
+    return "".join(f"{s:04x}" for s in slots)
+
+
+def test_parsing_by_brute_force(texts):
+    some = [t for t in texts if len(t) < 3000]
+    assert parse_fingerprints.written(parse_fingerprints.fingerprints(some)) == [brute_fingerprint(t) for t in some]
+
+
+def text_order(spark, rows):
+    """Rows by doc_id, nulls first, ties by the hash of the text."""
+    tags = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    return sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, tags[r[1]]))
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 24, 3000])
-def test_parse_fingerprints(docs, held, part_bytes):
-    got = parse_fingerprints.fingerprint_documents(docs, part_bytes).collect()
-    order = sorted(held, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    assert len(got) == len(order)
-    found = by_id(got)
-    alone = {t: parse_fingerprints.written(parse_fingerprints.fingerprints([t]))[0] for _, t in order}
+def test_parse_fingerprints(spark, docs, held, part_bytes):
+    # a third of all rows have no id, and many of them no text
+    more = [(None, "")] * 20 + [(None, f"note {k} " * (k + 5)) for k in range(10)] + [(3, "again and again " * 9)] * 3
+    df = docs.select("doc_id", "text", "spans").unionByName(spark.createDataFrame([(*r, 1) for r in more], "doc_id long, text string, spans int"))
+    got = parse_fingerprints.fingerprint_documents(df, part_bytes).collect()
+    order = text_order(spark, [*held, *more])
+    alike = lambda a, b: 1.0 if not any(x != "ffff" or y != "ffff" for x, y in zip(a, b, strict=True)) else sum(x == y != "ffff" for x, y in zip(a, b, strict=True)) / sum(x != "ffff" or y != "ffff" for x, y in zip(a, b, strict=True))
+    split = lambda p: [p[k : k + 4] for k in range(0, len(p), 4)]
+    print_of = lambda t: parse_fingerprints.written(parse_fingerprints.fingerprints([t]))[0]
+    want = Counter()
     for (i, t), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
-        (r,) = found[i]
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), alone[t])
-        assert r.edited_fingerprint == parse_fingerprints.written(parse_fingerprints.fingerprints([edited]))[0]
-        assert 0 <= r.near_edited <= 1 and (r.near_edited == 1 or edited != t) and (r.near_next == 1 or after != t)
+        one, two, three = print_of(t), print_of(edited), print_of(after)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), one, two, alike(split(one), split(two)), alike(split(one), split(three))] += 1
+    assert Counter(map(tuple, got)) == want
     assert parse_fingerprints.fingerprint_documents(empty(docs)).collect() == []
-    long = found[68][0]
+    (long,) = by_id(got)[68]
     assert 0.1 < long.near_edited < 0.6 and long.near_next < 0.05
 
 

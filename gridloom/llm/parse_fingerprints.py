@@ -28,7 +28,7 @@ FLOOR = 3
 #: Minimum hashes in a fingerprint, 16 bits each; EMPTY marks one without a phrase.
 SLOTS, EMPTY = 64, 0xFFFF
 #: Bytes of text in a part that is sorted and fingerprinted in one task, about.
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

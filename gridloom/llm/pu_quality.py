@@ -5,9 +5,10 @@ and unlabelled web text by the non-negative unbiased risk
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),   l(z) = log(1 + exp(-z)),
 
-where prior is the share of label 1 among the labelled rows that may be
-learnt from.  When the bracket of a batch falls below zero its gradient is
-turned round, as the method asks.  The sample that is fitted is bounded by
+where prior is the share of positives in the unlabelled text, estimated from
+the two samples alone (``estimated_prior``); labels of 0 are not read.  When
+the bracket of a batch falls below zero its gradient is turned round, as the
+method asks.  The sample that is fitted is bounded by
 ``MOST_POSITIVE`` and ``MOST_UNLABELLED`` and drawn by a hash of doc_id;
 scoring is one narrow pass over all documents.
 """
@@ -119,8 +120,29 @@ def _forward(w: tuple[np.ndarray, ...], x: np.ndarray) -> tuple[np.ndarray, np.n
     return hidden, np.clip(hidden @ w[2] + w[3], -30, 30)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, epochs: int = 40, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
-    """Minimise the non-negative risk over batches by Adam; the same input gives the same model."""
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among ``unlabelled`` rows, from trusted positives and them.
+
+    A network learns to tell the two samples apart on one half of them.  Among
+    the other half's highest scores nearly all unlabelled rows are positives,
+    so there the share of unlabelled rows above a score, over the share of
+    positives above it, is the prior; the score is the one at which that ratio
+    with its sampling error is least (best bin estimation).
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    apart = fit(positive[::2], unlabelled[::2], None, epochs=20)
+    p, u = np.sort(apart.score(positive[1::2])), np.sort(apart.score(unlabelled[1::2]))
+    at = np.unique(np.concatenate([p, u]))
+    above_p, above_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    error = np.sqrt(np.log(4 / 0.1) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    some = above_p > 0
+    best = np.argmin((above_u[some] + 1.01 * error) / above_p[some])
+    return float(np.clip(above_u[some][best] / above_p[some][best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, hidden: int = 16, epochs: int = 40, batch: int = 1024, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> Model:
+    """Minimise the non-negative risk over batches by Adam, or without ``prior`` the plain one of telling the samples apart; the same input gives the same model."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
     model = Model(mean, scale, (), prior)
@@ -136,10 +158,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
             h, g = _forward(tuple(w), x)
             is_p = np.arange(len(x)) < len(xs_p)
             up = 1 / (1 + np.exp(-g))  # l(-g)'s slope
-            negative = np.where(is_p, -prior * up / len(xs_p), up / len(xs_u))
-            loss = np.logaddexp(0, g)
-            risk = loss[~is_p].mean() - prior * loss[is_p].mean()
-            slope = np.where(is_p, prior * (up - 1) / len(xs_p), 0) + negative if risk >= 0 else -negative
+            if prior is None:
+                slope = np.where(is_p, (up - 1) / len(xs_p), up / len(xs_u))
+            else:
+                negative = np.where(is_p, -prior * up / len(xs_p), up / len(xs_u))
+                loss = np.logaddexp(0, g)
+                risk = loss[~is_p].mean() - prior * loss[is_p].mean()
+                slope = np.where(is_p, prior * (up - 1) / len(xs_p), 0) + negative if risk >= 0 else -negative
             back = np.outer(slope, w[2]) * (1 - h * h)
             grads = [x.T @ back + decay * w[0], back.sum(axis=0), h.T @ slope + decay * w[2], slope.sum()]
             step += 1
@@ -147,7 +172,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
                 m[i] = 0.9 * m[i] + 0.1 * d
                 v[i] = 0.999 * v[i] + 0.001 * d * d
                 w[i] = w[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, tuple(w), prior)
+    return Model(mean, scale, tuple(w), 0.5 if prior is None else prior)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -163,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     drawn = lambda share: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     known = labels.where(usable & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, good = known.agg(F.count("*"), F.coalesce(F.sum(F.col("quality").cast("long")), F.lit(0))).first()
+    good = known.where("quality = 1").count()
     rows = docs.where(usable).count()
     none = Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), (), 0.5)
     if not good or not rows:
@@ -186,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     positive, unlabelled = x[kinds % 2 == 1], x[kinds >= 2]
     if not len(positive) or not len(unlabelled):
         return none
-    return fit(positive, unlabelled, min(0.99, good / n))
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -866,6 +866,40 @@ def test_pu_learning_needs_no_negatives():
     assert (model.score(fresh_good) > 0.5).mean() > 0.9 and (model.score(fresh_bad) < 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_of_a_known_mixture(share):
+    rng = np.random.default_rng(1)
+    n, f = 6000, len(pu_quality.FEATURES)
+    good = rng.normal(0.6, 1, (n + int(share * n), f)).astype(np.float32)
+    mixed = np.concatenate([good[n:], rng.normal(-0.6, 1, (n - int(share * n), f)).astype(np.float32)])
+    assert abs(pu_quality.estimated_prior(good[:n], rng.permutation(mixed)) - share) < 0.06
+
+
+def brute_features(text):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, m, chars = len(ws), max(1, len(ws)), max(1, len(text))
+    count = lambda marks: sum(c in marks for c in text)
+    pairs = list(zip(ws, ws[1:], strict=False))
+    ends = sum(ord(w[-1]) < 127 and ord(w[-1]) > 32 and not w[-1].isalnum() and w[-1] not in ".," for w in ws)
+    near = sum(ws[i] == ws[i - k] for k in (2, 3, 4) for i in range(k, n))
+    return [
+        np.log1p(n) / 3, np.log1p(sum(map(len, ws)) / m), count("#*$%&|<>") / m, count("|") / m, count("!?") / m, sum("A" <= c <= "Z" for c in text) / chars, sum("0" <= c <= "9" for c in text) / chars,
+        count(".,;:") / m, count("\n") / m, sum(ord(c) >= 0x80 for c in text) / chars, sum(len(w) <= 3 for w in ws) / m, len(set(ws)) / m, sum(a == b for a, b in pairs) / m, near / m,
+        1 - len(set(pairs)) / max(1, n - 1), count("\"'()[]{}/\\=+-_@^~`") / m, ends / m, np.log1p(max(map(len, ws), default=0)),
+    ]
+
+
+def test_features_and_scores_by_brute_force(texts):
+    some = [t for t in texts if len(t) < 5000]
+    x = pu_quality.features(some)
+    assert np.allclose(x, [brute_features(t) for t in some], atol=1e-5)
+    model = pu_quality.fit(x[:40], x[20:], 0.5, epochs=3)
+    for row, s in zip(x, model.score(x), strict=True):
+        z = [min(6, max(-6, (a - b) / c)) for a, b, c in zip(row.tolist(), model.mean.tolist(), model.scale.tolist(), strict=True)]
+        hidden = [np.tanh(sum(a * b for a, b in zip(z, col, strict=True)) + h) for col, h in zip(model.weights[0].T.tolist(), model.weights[1].tolist(), strict=True)]
+        assert abs(1 / (1 + np.exp(-(sum(a * b for a, b in zip(hidden, model.weights[2].tolist(), strict=True)) + float(model.weights[3])))) - s) < 1e-5
+
+
 def test_pu_quality_edges(spark, docs, held):
     labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(3, 0), (None, 1), (5, None), (10**9, 1)], "doc_id long, quality int")
     model = pu_quality.learn(docs, labels)

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from ..functions.names import column, fresh_name
 from ..sources.local import local_table
 
-#: Edited rows are sent to every executor up to this many; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Edits are sent to every executor up to this many characters, each row counting 64 beside its own; beyond it they are joined by shuffle.
+BROADCAST_CHARS = 16 << 20
 
 
 #: Bits of the integer types.
@@ -42,6 +42,7 @@ class EditLog:
     row_number: str
     cells: dict[int, dict[str, str | None]] = field(default_factory=dict)
     unsaved: bool = False
+    rows: int | None = None  # rows of the source, if they are known
 
     def record(self, spark: SparkSession, row: int, name: str, value: object) -> None:
         """Check and note one edit.  A value that its column's type does not take is refused, never stored as null."""
@@ -50,7 +51,7 @@ class EditLog:
         kind = next((f.dataType for f in self.schema.fields if f.name == name), None)
         if kind is None:
             raise EditError(f"no column {name!r}")
-        if row < 1:
+        if row < 1 or (self.rows is not None and row > self.rows):
             raise EditError(f"no row {row}")
         self.cells.setdefault(row, {})[name] = None if value is None else self._checked(spark, name, kind, value)
         self.unsaved = True
@@ -67,6 +68,9 @@ class EditLog:
             raise EditError(f"{text!r} is no {kind.simpleString()} for {name!r}")
         return text
 
+    def size(self) -> int:
+        return sum(64 + sum(len(n) + len(v or "") for n, v in cells.items()) for cells in self.cells.values())
+
     def __len__(self) -> int:
         return sum(map(len, self.cells.values()))
 
@@ -78,7 +82,7 @@ def overlay(df: DataFrame, log: EditLog) -> DataFrame:
     edited = {c for cells in log.cells.values() for c in cells}
     at, said = fresh_name(df.columns, "_row"), fresh_name(df.columns, "_said")
     rows = local_table(df.sparkSession, [(at, pa.int64()), (said, pa.map_(pa.string(), pa.string()))], [(row, list(cells.items())) for row, cells in log.cells.items()])
-    if len(log.cells) <= BROADCAST_ROWS:
+    if log.size() <= BROADCAST_CHARS:
         rows = F.broadcast(rows)
     kinds = {f.name: f.dataType for f in df.schema.fields}
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import column
 from ..functions.text import delimited, export_text
+from ..sources.local import local_table
 
 
 def lines(df: DataFrame, names: Sequence[str] | None = None, delimiter: str = "\t") -> DataFrame:
@@ -18,6 +20,10 @@ def lines(df: DataFrame, names: Sequence[str] | None = None, delimiter: str = "\
     return df.select(F.concat_ws(delimiter, *[delimited(export_text(column(n)), delimiter) for n in names]).alias("line"))
 
 
+#: Characters that an export gathers on the driver, at most.
+MOST_TEXT = 64 << 20
+
+
 @dataclass(frozen=True)
 class Export:
     """Lines, and a header line if one was asked for."""
@@ -26,8 +32,17 @@ class Export:
     header: str | None = None
     newline: str = "\n"
 
-    def text(self) -> str:
-        """All of it as one text, each line ended; for what a person copies, as it is gathered on the driver."""
+    def lines(self) -> DataFrame:
+        """The header line, if any, and the body's."""
+        if self.header is None:
+            return self.body
+        return local_table(self.body.sparkSession, [("line", pa.string())], [(self.header,)]).unionByName(self.body)
+
+    def text(self, most: int = MOST_TEXT) -> str:
+        """All of it as one text, each line ended; for what a person copies, as it is gathered on the driver.  What has more than ``most`` characters raises: ``write`` has no bound."""
+        size = self.body.agg(F.coalesce(F.sum(F.char_length("line") + len(self.newline)), F.lit(0))).first()[0]
+        if size > most:
+            raise ValueError(f"{size:,} characters are too many to copy; write them to files with write()")
         said = [r.line for r in self.body.collect()]
         return "".join(line + self.newline for line in [*([] if self.header is None else [self.header]), *said])
 

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import describe, type_class
-from ..functions.text import whole_seconds
 from ..operators import export, sink
 from ..operators.edits import EditLog, overlay
 from ..operators.ordering import page, sorted_by
@@ -168,10 +167,30 @@ def sort_nulls_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page(sorted_by(df, "nation", True, "row_number"), 0, 100)
 
 
+@query(f"SELECT * FROM {_CUSTOMERS} ORDER BY nation DESC NULLS LAST, row_number LIMIT 1450")
+def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _numbered(spark, sf_dir, "customer").select("row_number", F.nullif("c_nationkey", F.lit(3)).alias("nation"))
+    return page(sorted_by(df, "nation", False, "row_number"), 0, 1450)
+
+
+@query(f"SELECT * FROM {_ORDERS} WHERE row_number > 200 AND row_number <= 250")
+def stored_order_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Workbook.open(spark, f"{sf_dir}/orders.parquet").page(200, 50).view()
+
+
+@query(f"SELECT * FROM {_ORDERS}")
+def row_numbers_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders saved as a folder of files, and numbered over them."""
+    to = scratch(spark, "folder")
+    sink.save(_numbered(spark, sf_dir, "orders").repartitionByRange(5, "row_number"), to, "row_number", layout="directory")
+    return numbered(spark, to)[0]
+
+
 @query("SELECT 1 AS files, count(*) AS n_rows, count(DISTINCT rn) AS row_numbers FROM (SELECT row_number() OVER () AS rn FROM lineitem)")
 def row_numbers_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _numbered(spark, sf_dir, "lineitem")
-    return df.agg(F.lit(1).alias("files"), F.count("*").alias("n_rows"), F.countDistinct("row_number").alias("row_numbers"))
+    files = scan(spark, f"{sf_dir}/lineitem.parquet").select(F.col("_metadata.file_path").alias("at")).agg(F.countDistinct("at").cast("int").alias("files"))
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct("row_number").alias("row_numbers")).join(files).select("files", "n_rows", "row_numbers")  # one row each
 
 
 @query(f"""SELECT row_number, o_orderkey, o_custkey, CASE WHEN row_number = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN row_number = 3 THEN 12.5 WHEN row_number = 7 THEN NULL ELSE o_totalprice END AS o_totalprice,
@@ -203,9 +222,12 @@ def export_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.lines(_table(spark, sf_dir, "orders"))
 
 
-@query(f"SELECT {_joined(['event_id', 'user_id', 'event_type', 'value', 'props'], chr(39) + ',' + chr(39), True)} AS line FROM events")
+_EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+@query(f"SELECT {_joined(_EVENT_COLUMNS, chr(39) + ',' + chr(39), True)} AS line FROM events")
 def export_csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.lines(_table(spark, sf_dir, "events"), ["event_id", "user_id", "event_type", "value", "props"], ",")
+    return export.lines(_table(spark, sf_dir, "events"), _EVENT_COLUMNS, ",")
 
 
 @query(f"SELECT {_joined(['doc_id', 'text', 'lang', 'source', 'n_chars'], chr(39) + ',' + chr(39), True)} AS line FROM documents")
@@ -213,24 +235,57 @@ def export_csv_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.lines(_table(spark, sf_dir, "documents"), delimiter=",")
 
 
-@query(f"SELECT {_joined(['row_number', *_ORDER_COLUMNS])} AS line FROM {_ORDERS} WHERE row_number IN (2, 5, 900)")
+def _headed(names: list[str], lines: str, delimiter: str = "chr(9)") -> str:
+    """SQL for a header line before ``lines``."""
+    said = ", ".join(f"'{n}'" for n in names)
+    return f"SELECT concat_ws({delimiter}, {said}) AS line UNION ALL {lines}"
+
+
+@query(_headed(["#", *_ORDER_COLUMNS], f"SELECT {_joined(['row_number', *_ORDER_COLUMNS])} AS line FROM {_ORDERS} WHERE row_number IN (2, 5, 900)"))
 def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.rows(_numbered(spark, sf_dir, "orders"), "row_number", [900, 2, 5]).body
+    return export.rows(_numbered(spark, sf_dir, "orders"), "row_number", [900, 2, 5], headers=True).lines()
+
 
+@query(f"SELECT {_joined(['row_number', 'o_orderpriority', 'o_orderkey'])} AS line FROM {_ORDERS} WHERE row_number <= 40")
+def export_visible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.rows(_numbered(spark, sf_dir, "orders"), "row_number", range(1, 41), visible=["o_orderpriority", "o_orderkey"]).lines()
 
-@query(f"SELECT {_joined(['o_orderpriority', 'o_orderkey'])} AS line FROM orders WHERE o_orderstatus ILIKE '%o%'")
+
+@query(_headed(["o_orderkey", "o_orderpriority"], f"SELECT {_joined(['o_orderkey', 'o_orderpriority'])} AS line FROM orders WHERE o_orderstatus ILIKE '%o%'"))
 def export_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Workbook.open(spark, f"{sf_dir}/orders.parquet").filter("o_orderstatus", "o").toggle_sort("o_orderdate").copy_columns(["o_orderpriority", "o_orderkey", "o_orderkey"]).body
+    return Workbook.open(spark, f"{sf_dir}/orders.parquet").filter("o_orderstatus", "o").toggle_sort("o_orderdate").copy_columns(["o_orderpriority", "o_orderkey", "o_orderkey"], headers=True).lines()
 
 
-@query(f"SELECT {_joined(['c_name', 'c_acctbal'])} AS line FROM (SELECT row_number() OVER () AS rn, * FROM customer) WHERE rn IN (1, 42)")
+@query(_headed(["c_name", "c_acctbal"], f"SELECT {_joined(['c_name', 'c_acctbal'])} AS line FROM (SELECT row_number() OVER () AS rn, * FROM customer) WHERE rn IN (1, 42)"))
 def export_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Workbook.open(spark, f"{sf_dir}/customer.parquet").copy_cells([1, 42], ["c_name", "c_acctbal"], headers=True).body
+    return Workbook.open(spark, f"{sf_dir}/customer.parquet").copy_cells([1, 42], ["c_acctbal", "c_name"], headers=True).lines()
 
 
 @query("SELECT event_id, date_trunc('second', ts) AS ts FROM events")
 def save_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", whole_seconds(F.col("ts")).alias("ts"))
+    to = scratch(spark, "seconds") + ".parquet"
+    sink.save(_numbered(spark, sf_dir, "events").select("row_number", "event_id", "ts"), to, "row_number", timestamp_precision="second")
+    return scan(spark, to)
+
+
+@query("""SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,4)) AS price, nullif(o_orderstatus = 'F', o_orderkey % 5 = 0) AS filled, hex(encode(o_orderpriority)) AS said, len([o_custkey, o_orderkey])::INT AS n, o_custkey AS first,
+  o_orderstatus AS inner_status, nullif(o_custkey, 10) AS customer FROM orders""")
+def save_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimals, booleans, bytes, lists, structs and nulls through a save; the parts of what has parts are read back."""
+    o = _numbered(spark, sf_dir, "orders")
+    made = o.select(
+        "row_number",
+        "o_orderkey",
+        F.col("o_totalprice").cast("decimal(18,4)").alias("price"),
+        F.nullif(F.col("o_orderstatus") == "F", F.col("o_orderkey") % 5 == 0).alias("filled"),
+        F.col("o_orderpriority").cast("binary").alias("said"),
+        F.array("o_custkey", "o_orderkey").alias("keys"),
+        F.struct(F.col("o_orderstatus").alias("status")).alias("inner"),
+        F.nullif("o_custkey", F.lit(10)).alias("customer"),
+    )
+    to = scratch(spark, "types") + ".parquet"
+    sink.save(made, to, "row_number")
+    return scan(spark, to).select("o_orderkey", "price", "filled", F.hex("said").alias("said"), F.size("keys").alias("n"), F.col("keys")[0].alias("first"), F.col("inner.status").alias("inner_status"), "customer")
 
 
 @query("SELECT * FROM orders")

@@ -6,6 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
+from ..functions.names import column
 from ..operators.ordering import page, sorted_by
 from ..operators.predicates import matching
 
@@ -65,5 +66,9 @@ class ViewState:
         if self.key is not None:
             out = sorted_by(out, self.key, self.ascending, self.row_number)
         elif self.offset or self.size is not None:
-            out = out.orderBy(f"`{self.row_number}`")
+            if not self.filters and not self.text.strip():  # rows are numbered without a gap, so the page is known by its numbers
+                number = column(self.row_number)
+                some = out.where(number > self.offset)
+                return (some if self.size is None else some.where(number <= self.offset + self.size)).orderBy(number)
+            out = out.orderBy(column(self.row_number))
         return page(out, self.offset, self.size)

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.names import column
 from ..operators import export, sink
 from ..operators.edits import EditLog, overlay
 from ..operators.predicates import FilterError
@@ -101,6 +102,8 @@ class Workbook:
         return self
 
     def edit(self, row: int, name: str, value: object) -> None:
+        """Note one edit; a row that the source does not have is refused."""
+        self.log.rows = self.info().rows
         self.log.record(self.spark, row, name, value)
 
     def save(self, timestamp_precision: str | None = None) -> int:
@@ -137,16 +140,26 @@ class Workbook:
 
     def copy_cells(self, rows: Iterable[int], names: Sequence[str], delimiter: str = "\t", headers: bool = False, newline: str = "\n") -> export.Export:
         rows, out = list(rows), self.view()
-        self.message = f"Copied {len(set(rows)) * len(set(names)):,} cells"
-        return export.cells(out, self.row_number, rows, names, delimiter, headers, newline)
+        self.message = f"Copied {self._found(out, rows) * len(set(names)):,} cells"
+        return export.cells(out, self.row_number, rows, self._displayed(names), delimiter, headers, newline)
+
+    def _found(self, shown: DataFrame, rows: list[int]) -> int:
+        """How many of ``rows`` the view shows; only row numbers and filtered columns are read."""
+        return shown.where(column(self.row_number).isin(rows)).count()
+
+    def _displayed(self, names: Iterable[str]) -> list[str]:
+        """``names``, each once, in the order in which they are displayed."""
+        wanted = set(names)
+        shown = [n for n in [self.row_number, *self.columns] if n in wanted]
+        return [*shown, *(n for n in dict.fromkeys(names) if n not in shown)]
 
     def copy_rows(self, rows: Iterable[int], headers: bool = False, visible: Sequence[str] | None = None) -> export.Export:
         rows, out = list(rows), self.view()
-        self.message = f"Copied {len(set(rows)):,} rows"
+        self.message = f"Copied {self._found(out, rows):,} rows"
         return export.rows(out, self.row_number, rows, visible, headers)
 
     def copy_columns(self, names: Sequence[str], headers: bool = False) -> export.Export:
         """The named columns of every row of the current view, in its order."""
         out = self.view()
         self.message = f"Copied {len(set(names)):,} columns"
-        return export.columns(out, names, headers)
+        return export.columns(out, self._displayed(names), headers)

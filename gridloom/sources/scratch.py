@@ -9,6 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a temporary folder where that is unset (tests, one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
-    return f"{base.rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"
+    """A new path below spark.checkpoint.dir, or, on one machine (tests), below a temporary folder where that is unset; it goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="gridloom-")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{folder.toString()}/{name}"

@@ -273,3 +273,22 @@ def test_follow(spark, tmp_path):
     assert sorted(ids(spark.table("followed"))) == [i for i in [*range(20), *range(100, 120)] if "1" in str(i)]
     with pytest.raises(ValueError):
         follow(spark, folder, ViewState().toggle_sort("id"))
+
+
+def test_edits_beyond_the_last_row_are_refused(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "five.parquet"))
+    book = Workbook.open(spark, str(tmp_path / "five.parquet"))
+    for row in (0, 6, 999):
+        with pytest.raises(EditError):
+            book.edit(row, "id", 1)
+    assert not book.dirty
+    book.copy_rows([1, 999])
+    assert book.message == "Copied 1 rows"
+    assert [r.id for r in book.page(2, 2).view().collect()] == [2, 3] and [r.id for r in book.page(4, 9).view().collect()] == [4]
+
+
+def test_long_copies_are_refused_and_written(spark, tmp_path):
+    out = export.columns(spark.range(100), ["id"], headers=True)
+    with pytest.raises(ValueError, match="write"):
+        out.text(most=50)
+    assert out.lines().count() == 101 and out.text().startswith("id\n0\n")

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -820,6 +821,36 @@ def test_hot_keys_of_near_copies_are_dealt_out(spark):
     assert all(label[k] == k % 20 for k in range(400))
 
 
+def test_windows_hold_each_short_run_whole():
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(1, 9, 400)
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    batches = [pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.arange(len(k)))], names=["key", "x"]) for k in np.array_split(keys, 37)]
+    seen = Counter()
+    for rows, fresh in near_copies.windows(iter(batches), 8):
+        assert len(rows) <= 16
+        got, first, count = np.unique(rows[:, 0], return_index=True, return_counts=True)
+        seen.update(int(k) for k, at, n in zip(got, first, count, strict=True) if at < fresh and n == sizes[k])
+    assert set(seen) == set(range(len(sizes)))
+    assert [len(r) for r, _ in near_copies.windows(iter([]), 8)] == [0]
+
+
+def test_work_on_a_crowd_of_near_copies_grows_with_it(spark):
+    rng = random.Random(5)
+    ws = words(rng, 150).split()
+    prints, seen = {}, []
+    for n in (1500, 3000):
+        while len(prints) < n:
+            other = ws.copy()
+            other[rng.randrange(len(ws))] = f"w{rng.randrange(10**9)}"
+            prints[len(prints)] = near_copies.wide_fingerprint(near_copies.shingle_hashes(" ".join(other))).view(np.int64).tolist()
+        df = spark.createDataFrame([(k, *b) for k, b in prints.items()], "node long, bits long, more long")
+        pairs = near_copies.candidates(df, bucket=64).cache()
+        seen.append(pairs.count())
+        assert {r.label for r in components.components(pairs).collect()} == {0}
+    assert seen[1] < 2.5 * seen[0] < 3000 * 1500 / 10
+
+
 def test_pipeline_drops_near_copies_at_a_similarity(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     ws = words(random.Random(3), 200).split()

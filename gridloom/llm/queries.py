@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, packing, parse_fingerprints, piece_codec, pu_quality, quality_rules, secret_scan, sharding, simhash, token_counts
+from . import chunk_dedup, collocations, packing, parse_fingerprints, piece_codec, pu_quality, quality_rules, secret_scan, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -57,6 +57,10 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(docs, pu_quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chunk_dedup, op2_quality_rules, op3_pack_sequences, op4_secret_scan, op5_external_shuffle, op6_parse_fingerprints, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates, op10_pu_quality)}
+def op11_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op4_secret_scan": secret_scan.ORACLE}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chunk_dedup, op2_quality_rules, op3_pack_sequences, op4_secret_scan, op5_external_shuffle, op6_parse_fingerprints, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates, op10_pu_quality, op11_pivot_collocations)}
+
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op11_pivot_collocations": collocations.ORACLE}

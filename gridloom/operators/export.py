@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.names import column
 from ..functions.text import delimited, export_text
 from ..sources.local import local_table
+from .selection import selected
 
 
 def lines(df: DataFrame, names: Sequence[str] | None = None, delimiter: str = "\t") -> DataFrame:
     """One column, line: the named columns (default: all, each once) of each row, in the row order of ``df``."""
     names = list(dict.fromkeys(df.columns if names is None else names))
-    return df.select(F.concat_ws(delimiter, *[delimited(export_text(column(n)), delimiter) for n in names]).alias("line"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(F.concat_ws(delimiter, *[delimited(export_text(column(n), kinds.get(n)), delimiter) for n in names]).alias("line"))
 
 
 #: Characters that an export gathers on the driver, at most.
@@ -59,7 +61,7 @@ class Export:
 
 def cell(df: DataFrame, row_number: str, row: int, name: str, header: bool = False, newline: str = "\n") -> str:
     """One cell as it is, never quoted; with ``header``, its name on a line before it."""
-    found = df.where(column(row_number) == row).select(export_text(column(name))).first()
+    found = df.where(column(row_number) == row).select(export_text(column(name), df.schema[name].dataType)).first()
     if found is None:
         raise LookupError(f"no row {row}")
     return f"{name}{newline}{found[0]}" if header else found[0]
@@ -72,14 +74,14 @@ def _header(names: Sequence[str], delimiter: str, row_number: str | None = None)
     return delimiter.join(said)
 
 
-def cells(df: DataFrame, row_number: str, rows: Iterable[int], names: Sequence[str], delimiter: str = "\t", headers: bool = False, newline: str = "\n") -> Export:
-    """The named columns of the given rows."""
+def cells(df: DataFrame, row_number: str, rows: Iterable[int] | None, names: Sequence[str], delimiter: str = "\t", headers: bool = False, newline: str = "\n") -> Export:
+    """The named columns of the given rows, or of all rows of ``df``."""
     names = list(dict.fromkeys(names))
-    picked = df.where(column(row_number).isin(list(rows)))
+    picked = df if rows is None else selected(df, row_number, rows)
     return Export(lines(picked, names, delimiter), _header(names, delimiter, row_number) if headers else None, newline)
 
 
-def rows(df: DataFrame, row_number: str, picked: Iterable[int], visible: Sequence[str] | None = None, headers: bool = False, newline: str = "\n") -> Export:
+def rows(df: DataFrame, row_number: str, picked: Iterable[int] | None, visible: Sequence[str] | None = None, headers: bool = False, newline: str = "\n") -> Export:
     """Whole rows, tab-separated, with their row number first."""
     names = [row_number, *(n for n in (df.columns if visible is None else visible) if n != row_number)]
     return cells(df, row_number, picked, names, "\t", headers, newline)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.names import describe, type_class
 from ..operators import export, sink
 from ..operators.edits import EditLog, overlay
-from ..operators.ordering import page, sorted_by
+from ..operators.ordering import page, sorted_by, sorted_page
 from ..operators.predicates import matching
 from ..sources.local import local_table
-from ..sources.parquet import file_info, numbered, row_count, scan
+from ..sources.files import numbered
+from ..sources.parquet import file_info, row_count, scan
 from ..sources.recents import most_recent
 from ..sources.scratch import scratch
 from .view import ViewState
@@ -190,7 +192,7 @@ def row_numbers_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_numbers_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _numbered(spark, sf_dir, "lineitem")
     files = scan(spark, f"{sf_dir}/lineitem.parquet").select(F.col("_metadata.file_path").alias("at")).agg(F.countDistinct("at").cast("int").alias("files"))
-    return df.agg(F.count("*").alias("n_rows"), F.countDistinct("row_number").alias("row_numbers")).join(files).select("files", "n_rows", "row_numbers")  # one row each
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct("row_number").alias("row_numbers")).crossJoin(files).select("files", "n_rows", "row_numbers")  # one row each
 
 
 @query(f"""SELECT row_number, o_orderkey, o_custkey, CASE WHEN row_number = 7 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN row_number = 3 THEN 12.5 WHEN row_number = 7 THEN NULL ELSE o_totalprice END AS o_totalprice,
@@ -300,10 +302,184 @@ def save_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = Workbook.open(spark, f"{sf_dir}/orders.parquet").filter("o_orderstatus", "f")
     book.edit(2, "o_orderstatus", None)
     book.save_as(scratch(spark, "edited") + ".parquet")
-    return book.source.select("row_number", "o_orderkey", "o_orderstatus")
+    return book.source.numbered.select("row_number", "o_orderkey", "o_orderstatus")
 
 
 @query("""SELECT event_id, ts, user_id FROM (SELECT event_id, ts, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1
   ORDER BY ts DESC, event_id DESC LIMIT 10""")
 def mru_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return most_recent(_table(spark, sf_dir, "events").select("event_id", "ts", "user_id"), "user_id", ["ts", "event_id"])
+
+
+# Tables of many files, as a large table is one: 40 files of orders, in row order.
+
+
+def _many_files(spark: SparkSession, sf_dir: str, files: int = 40, name: str = "orders") -> str:
+    to = scratch(spark, "many")
+    df = _numbered(spark, sf_dir, name)
+    sink.save(df.repartitionByRange(files, "row_number"), to, "row_number", layout="directory")
+    return to
+
+
+@query(f"""SELECT row_number, o_orderkey, o_custkey, CASE WHEN row_number = 77 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, 1 AS files_written FROM {_ORDERS}""")
+def save_one_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edit saved over a folder: the rows, and how many files are newer than the others."""
+    to = _many_files(spark, sf_dir)
+    changed = scan(spark, to).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_modification_time").alias("time")).distinct()
+    before = {(r.at, r.time) for r in changed.collect()}  # one row a file
+    book = Workbook.open(spark, to)
+    book.edit(77, "o_orderstatus", "Z")
+    book.save()
+    after = {(r.at, r.time) for r in scan(spark, to).select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_modification_time").alias("time")).distinct().collect()}
+    return book.data().withColumn("files_written", F.lit(len(after - before)))
+
+
+@query(f"SELECT row_number, CASE WHEN row_number IN (1, 900) THEN 0 ELSE o_totalprice END AS o_totalprice, o_orderkey FROM {_ORDERS}")
+def save_folder_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder saved as another one, whose row numbers are the same."""
+    book = Workbook.open(spark, _many_files(spark, sf_dir))
+    for row in (1, 900):
+        book.edit(row, "o_totalprice", 0)
+    book.save_as(scratch(spark, "again"), layout="directory")
+    return book.data().select("row_number", "o_totalprice", "o_orderkey")
+
+
+@query(f"SELECT row_number, CASE WHEN row_number = 4 THEN NULL ELSE o_custkey END AS o_custkey, o_orderkey FROM {_ORDERS}")
+def save_folder_as_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = Workbook.open(spark, _many_files(spark, sf_dir))
+    book.edit(4, "o_custkey", None)
+    book.save_as(scratch(spark, "one") + ".parquet")
+    return book.data().select("row_number", "o_custkey", "o_orderkey")
+
+
+@query("SELECT count(*) AS n_rows, 'Saved ' || format('{:,}', count(*)) || ' rows' AS message, FALSE AS dirty FROM orders")
+def save_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file saved over itself: its rows, and what the workbook says of it."""
+    to = scratch(spark, "place") + ".parquet"
+    sink.save(_numbered(spark, sf_dir, "orders"), to, "row_number", layout="file")
+    book = Workbook.open(spark, to)
+    book.edit(3, "o_orderstatus", "X")
+    book.save()
+    return scan(spark, to).agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(book.message).alias("message"), F.lit(book.dirty).alias("dirty"))
+
+
+@query(f"SELECT * FROM {_ORDERS} WHERE row_number > 700 AND row_number <= 750")
+def stored_page_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Workbook.open(spark, _many_files(spark, sf_dir)).page(700, 50).view()
+
+
+@query("SELECT * FROM (SELECT CAST(row_number() OVER () AS BIGINT) AS row_number, * FROM lineitem) ORDER BY l_extendedprice DESC NULLS LAST, row_number LIMIT 40 OFFSET 5500")
+def deep_sorted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_page(_numbered(spark, sf_dir, "lineitem"), "l_extendedprice", False, "row_number", 5500, 40, deep=100)
+
+
+@query("SELECT * FROM (SELECT CAST(row_number() OVER () AS BIGINT) AS row_number, * FROM lineitem) ORDER BY lower(l_returnflag), row_number LIMIT 40 OFFSET 5500")
+def deep_page_of_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sorted_page(_numbered(spark, sf_dir, "lineitem"), "l_returnflag", True, "row_number", 5500, 40, deep=100)
+
+
+@query("""SELECT * FROM (SELECT CAST(row_number() OVER () AS BIGINT) AS row_number, * FROM lineitem) WHERE contains(CAST(l_partkey AS VARCHAR), '12') AND contains(CAST(l_extendedprice AS VARCHAR), '57')""")
+def narrowed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a longer text finds among the rows that were held for a shorter one."""
+    book = Workbook.open(spark, f"{sf_dir}/lineitem.parquet").filter("l_partkey", "1")
+    book.hold()
+    book.filter("l_partkey", "12").filter("l_extendedprice", "5")
+    book.hold()
+    return book.filter("l_extendedprice", "57").view()
+
+
+@query(f"SELECT {_joined(['row_number', *_ORDER_COLUMNS])} AS line FROM {_ORDERS} WHERE row_number % 3 <> 0 AND row_number <= 1000000")
+def copy_many_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three row numbers up to a million, most of which the small tables do not have."""
+    rows = np.arange(1, 1_000_001)
+    return Workbook.open(spark, _many_files(spark, sf_dir)).copy_rows(rows[rows % 3 != 0]).lines()
+
+
+@query(f"SELECT row_number, o_orderkey, CASE WHEN row_number = 8 THEN 'Q' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN row_number = 9 THEN NULL ELSE o_totalprice END AS o_totalprice FROM {_ORDERS}")
+def edits_after_a_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that one workbook made and never saved, seen by another."""
+    to = scratch(spark, "crash") + ".parquet"
+    sink.save(_numbered(spark, sf_dir, "orders"), to, "row_number", layout="file")
+    book = Workbook.open(spark, to, journal=True)
+    book.edit(8, "o_orderstatus", "P")
+    book.edit(8, "o_orderstatus", "Q")
+    book.edit(9, "o_totalprice", None)
+    return Workbook.open(spark, to, journal=True).data().select("row_number", "o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+_LARGE = "SELECT l_orderkey, l_linenumber, l_extendedprice * 1000 + 0.25 AS price FROM lineitem"
+
+
+def _large_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * 1000 + 0.25).alias("price"))
+
+
+@query(f"SELECT * FROM ({_LARGE}) WHERE contains(CAST(price AS VARCHAR), '1234')")
+def search_large_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of 10,000,000 and more, by their digits."""
+    return matching(_large_numbers(spark, sf_dir), [("price", "1234")])
+
+
+@query(f"SELECT {_joined(['l_orderkey', 'l_linenumber', 'price'])} AS line FROM ({_LARGE})")
+def export_large_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.lines(_large_numbers(spark, sf_dir))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(strip_accents(lower(text)), 'eleve')")
+def filter_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching(_table(spark, sf_dir, "documents"), [("text", "Élève")], collation="UNICODE_CI_AI").select("doc_id", "lang")
+
+
+_FIRST_WORDS = "(SELECT CAST(row_number() OVER () AS BIGINT) AS row_number, lang, coalesce(nullif(regexp_extract(text, '^[A-Za-zÀ-ÿ]+'), ''), 'none') AS word FROM documents)"
+
+
+@query(f"SELECT * FROM {_FIRST_WORDS} WHERE contains(strip_accents(lower(word)), 'e')")
+def search_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ViewState().filter("word", "È").collate("UNICODE_CI_AI").apply(_first_words(spark, sf_dir))
+
+
+@query(f"SELECT * FROM {_FIRST_WORDS} ORDER BY strip_accents(lower(word)), row_number LIMIT 60 OFFSET 20")
+def sort_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of letters alone, so that both orders compare the same letters."""
+    return ViewState().collate("UNICODE_CI_AI").toggle_sort("word").page(20, 60).apply(_first_words(spark, sf_dir))
+
+
+def _first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.regexp_extract("text", "^[A-Za-zÀ-ÿ]+", 0)
+    return _numbered(spark, sf_dir, "documents").select("row_number", "lang", F.coalesce(F.nullif(word, F.lit("")), F.lit("none")).alias("word"))
+
+
+@query(_headed(["#", "o_totalprice", "o_orderkey", "o_orderstatus"], f"SELECT {_joined(['row_number', 'o_totalprice', 'o_orderkey', 'o_orderstatus'])} AS line FROM {_ORDERS} WHERE row_number BETWEEN 11 AND 30"))
+def copy_arranged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as a view shows them: columns moved and hidden."""
+    book = Workbook.open(spark, f"{sf_dir}/orders.parquet").hide("o_custkey", "o_orderdate", "o_orderpriority").move("o_totalprice", 0)
+    return book.copy_rows(range(11, 31), headers=True).lines()
+
+
+@query(f"SELECT row_number, o_totalprice, o_orderkey, o_orderstatus FROM {_ORDERS} WHERE contains(CAST(o_custkey AS VARCHAR), '7')")
+def arranged_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hidden column is still filtered by."""
+    return Workbook.open(spark, f"{sf_dir}/orders.parquet").filter("o_custkey", "7").hide("o_custkey", "o_orderdate", "o_orderpriority").move("o_totalprice", 0).view()
+
+
+@query("""SELECT * FROM (SELECT c_custkey, c_name || '''s "' AS "a `b` c.d" FROM customer) WHERE contains("a `b` c.d", '1''s "') ORDER BY "a `b` c.d" DESC, c_custkey LIMIT 30""")
+def quotes_in_names_and_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text with quotes in a column whose name has some, filtered and sorted by it."""
+    df = _table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit("'s \"")).alias("a `b` c.d"))
+    return ViewState("c_custkey").filter("a `b` c.d", "1'S \"").toggle_sort("a `b` c.d").toggle_sort("a `b` c.d").page(0, 30).apply(df)
+
+
+@query(f"SELECT 'o_orderpriority' || chr(13) || chr(10) || o_orderpriority AS cell, chr(13) || chr(10) AS newline FROM {_ORDERS} WHERE row_number = 12")
+def copy_one_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = export.cell(_numbered(spark, sf_dir, "orders"), "row_number", 12, "o_orderpriority", header=True, newline="\r\n")
+    return local_table(spark, [("cell", pa.string()), ("newline", pa.string())], [(said, "\r\n")])
+
+
+@query("""SELECT 'Loaded orders.parquet - ' || format('{:,}', count(*)) || ' rows, 6 columns' AS loaded, 'Sorted by o_orderdate (ascending)' AS sorted,
+  'Copied 2 columns (' || format('{:,}', count(*) FILTER (contains(lower(o_orderstatus), 'f'))) || ' rows)' AS copied FROM orders""")
+def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = Workbook.open(spark, f"{sf_dir}/orders.parquet")
+    said = [book.message]
+    said.append(book.toggle_sort("o_orderdate").message)
+    book.filter("o_orderstatus", "f").copy_columns(["o_orderkey", "o_custkey"])
+    return local_table(spark, [(n, pa.string()) for n in ("loaded", "sorted", "copied")], [(*said, book.message)])

@@ -1,4 +1,4 @@
-"""Parquet as a source: a lazy scan with stable row numbers."""
+"""Parquet as a source: a lazy scan, and what is known of it."""
 
 from __future__ import annotations
 
@@ -6,14 +6,12 @@ import os
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import column, describe, fresh_name, type_class
+from ..functions.names import describe, type_class
 
 ROW_NUMBER = "row_number"
-#: File offsets are sent to every executor up to this many files; beyond it they are joined by shuffle.
-BROADCAST_FILES = 50_000
 
 
 def literal_path(path: str) -> str:
@@ -35,25 +33,6 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(literal_path(path))
 
 
-def with_row_numbers(df: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
-    """A fresh Parquet scan with its rows numbered from 1 in stored order, first column.
-
-    One file needs its own row index only, a narrow projection.  Several files
-    follow each other by path: the rows of each are counted from the footers,
-    and each file's rows start after those of the files before it; rows are
-    not shuffled, and no window runs over them.
-    """
-    cols, files = [column(c) for c in df.columns], len(df.inputFiles())
-    if files <= 1:
-        return df.select((F.col("_metadata.row_index") + 1).alias(name), *cols)
-    counts = df.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("_n"))
-    before = counts.select("_path", F.coalesce(F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    if files <= BROADCAST_FILES:
-        before = F.broadcast(before)
-    own = df.select(F.col("_metadata.file_path").alias("_at"), F.col("_metadata.row_index").alias("_index"), *cols)
-    return own.join(before, own["_at"] == before["_path"]).select((F.col("_before") + F.col("_index") + 1).alias(name), *cols)
-
-
 def row_count(df: DataFrame) -> DataFrame:
     """One row, n_rows: all rows of ``df``, from the footers where nothing else is asked."""
     return df.agg(F.count("*").alias("n_rows"))
@@ -81,10 +60,3 @@ class FileInfo:
 
 def file_info(df: DataFrame, path: str) -> FileInfo:
     return FileInfo(path, row_count(df).first()[0], [tuple(r) for r in describe(df).collect()])
-
-
-def numbered(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """The numbered scan of ``path``, and its number column's name, which no stored column has in any case."""
-    df = scan(spark, path)
-    name = fresh_name(df.columns, ROW_NUMBER)
-    return with_row_numbers(df, name), name

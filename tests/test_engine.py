@@ -18,7 +18,8 @@ from gridloom.operators.ordering import page, sorted_by
 from gridloom.operators.predicates import matching
 from gridloom.plans.view import ViewState
 from gridloom.plans.workbook import UnsavedError, Workbook
-from gridloom.sources.parquet import numbered, row_count, scan
+from gridloom.sources.files import numbered
+from gridloom.sources.parquet import row_count, scan
 from gridloom.sources.recents import Recents, most_recent
 from gridloom.streaming.follow import follow
 from pyspark.sql import functions as F
@@ -77,8 +78,16 @@ def test_csv_quoting(spark):
 
 
 def test_number_text(spark):
-    df = spark.createDataFrame([(5.0,), (1e7,), (1e-4,), (-0.0,)], "d double")
-    assert [r.line for r in export.lines(df).collect()] == ["5.0", "1.0E7", "1.0E-4", "-0.0"]
+    values = [5.0, 1e7, 1e-4, -0.0, 12345678.9, -98765432.125, 1.5e-9, 2.5e300, 1e22, -7e-5, 123456789012345.67, 0.001, 1e6, 9999999.0]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    lines = [r.line for r in export.lines(df).collect()]
+    assert lines[:5] == ["5.0", "10000000.0", "0.0001", "-0.0", "12345678.9"]
+    assert [float(t) for t in lines] == values and not any("E" in t or "e" in t for t in lines)
+    assert all(Decimal(t) == Decimal(repr(v)) for t, v in zip(lines, values, strict=True))
+    odd = spark.createDataFrame([(math.nan, "1E5"), (math.inf, None), (-math.inf, "")], "d double, s string")
+    assert [r.line for r in export.lines(odd).collect()] == ["NaN\t1E5", "Infinity\t", "-Infinity\t"]
+    assert export.lines(spark.createDataFrame([(2.0**27,)], "f float")).first().line == "134217728.0"
+    assert ids(matching(df, [("d", "12345678")])) == [12345678.9, 123456789012345.67]
 
 
 def test_odd_names(spark, tmp_path):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_dedup, collocations, packing, parse_fingerprints, piece_codec, pu_quality, quality_rules, secret_scan, sharding, simhash, token_counts
+from . import chunk_dedup, collocations, divergence, mixing, packing, parse_fingerprints, piece_codec, pu_quality, quality_rules, secret_scan, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -61,6 +62,15 @@ def op11_pivot_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chunk_dedup, op2_quality_rules, op3_pack_sequences, op4_secret_scan, op5_external_shuffle, op6_parse_fingerprints, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates, op10_pu_quality, op11_pivot_collocations)}
+def op12_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"))
+    return mixing.digests(mixing.mix(sized, F.col("words")))
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op11_pivot_collocations": collocations.ORACLE}
+
+def op13_vector_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_audit(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chunk_dedup, op2_quality_rules, op3_pack_sequences, op4_secret_scan, op5_external_shuffle, op6_parse_fingerprints, op7_piece_codec, op8_token_counts, op9_simhash_near_duplicates, op10_pu_quality, op11_pivot_collocations, op12_budget_mix, op13_vector_divergence)}
+
+ORACLES: dict[str, str] = {"op2_quality_rules": quality_rules.ORACLE, "op4_secret_scan": secret_scan.ORACLE, "op11_pivot_collocations": collocations.ORACLE, "op13_vector_divergence": divergence.ORACLE}

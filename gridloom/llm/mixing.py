@@ -3,9 +3,9 @@
 Sources share all words by weight; one that would have to repeat more than
 ``MOST_REPEATS`` times stops there, and what it leaves is shared again.  A
 source's whole repeats take all of its documents.  What remains of its target
-is fitted over the counts of its documents by exact length: an even share of
-every length first, then the longest lengths that fit, and the last words by a
-bounded-knapsack dynamic programme.  It says how many documents of each length
+is fitted over the counts of its documents by exact length: of a large budget
+an even share of every length first, then the longest lengths that fit, and
+the last words, or a small budget, by a bounded-knapsack dynamic programme.  It says how many documents of each length
 are taken once more; which ones is decided by a seeded hash, by distributed
 selection: no group of documents of one length is ever in one task.
 """
@@ -65,14 +65,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
 
 
 def fitted(size: np.ndarray, count: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
-    """How many documents of each ``size`` (distinct, above 0), of ``count`` each, are taken so that their words come near ``budget``, at most all words."""
+    """How many documents of each ``size`` (distinct, above 0), of ``count`` each, are taken so that their words come near ``budget``, at most all words.
+
+    Up to ``exact`` words no sum of documents is nearer.  Beyond, every length
+    gives its even share first, and the same holds for what is left.
+    """
     whole = int((size * count).sum())
     taken = np.zeros(len(size), np.int64)
     if not len(size) or budget <= 0:
         return taken
     if budget >= whole:
         return count.copy()
-    taken = np.array([int(c) * budget // whole for c in count], np.int64)  # an even share; products may pass 64 bits
+    if budget > exact:
+        taken = np.array([int(c) * budget // whole for c in count], np.int64)  # an even share; products may pass 64 bits
     left = budget - int((size * taken).sum())
     down = np.argsort(-size)
     for i in down:
@@ -82,12 +87,12 @@ def fitted(size: np.ndarray, count: np.ndarray, budget: int, exact: int = EXACT)
         taken[i] += more
         left -= more * int(size[i])
     # what is left: the least part that each sum was first reached with; parts are doubled counts of one length
-    top = left + min(left, int(size.min())) + 1
+    top = 2 * left + 1
     first, parts = np.full(top, -1, np.int64), []
     reached = np.zeros(top, bool)
     reached[0] = True
-    for i in down[::-1]:
-        if size[i] >= top or reached[left]:
+    for i in np.random.default_rng(SEED).permutation(len(size)):  # no length goes before others
+        if reached[left]:
             break
         spare, step = min(int(count[i] - taken[i]), (top - 1) // int(size[i])), 1
         while spare:
@@ -139,9 +144,9 @@ def first_k(rows: DataFrame, group: str, n: str, k: str, order: Sequence[str], r
         spread = checkpointed(open_rows.withColumn("_span", span))
         counts = spread.groupBy(group, "_span").agg(F.count("*").alias("_m"), F.first("_k").alias("_want"))
         before = F.coalesce(F.sum("_m").over(Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        edge = counts.select(F.col(group).alias("_group"), F.col("_span").alias("_edge"), "_m", "_want", before.alias("_before")).where("_before < _want AND _want <= _before + _m")
+        edge = counts.select(F.col(group).alias("_of"), F.col("_span").alias("_edge"), "_m", "_want", before.alias("_before")).where("_before < _want AND _want <= _before + _m")
         key = F.bitwise_not(F.col(group))  # not partitioned by it yet, so a group of many rows can be split
-        met = spread.withColumn("_key", key).join(edge.withColumn("_key", F.bitwise_not(F.col("_group"))), "_key")
+        met = spread.withColumn("_key", key).join(edge.withColumn("_key", F.bitwise_not(F.col("_of"))), "_key")
         done.append(met.where("_span <> _edge").withColumn("_in", F.col("_span") < F.col("_edge")).select(*rows.columns, "_in"))
         met = met.where("_span = _edge").select(*rows.columns, (F.col("_want") - F.col("_before")).alias("_k"), F.col("_m").alias("_n"))
         few = (F.col("_n") <= 8 * ranked) if by != order[-1] else F.lit(True)

@@ -1025,3 +1025,98 @@ def test_pipeline_by_brute_force(spark):
     check_packing(packing.digests(kept[5]).collect(), list(table[4].items()), 1024, 1024 * 4)
     rows = pipeline.run(spark, DATA)
     assert rows.columns == kept[5].columns and rows.agg(F.sum("length")).first()[0] == kept[5].agg(F.sum("length")).first()[0]
+
+
+def template_table(n, planted, own, seed=3):
+    """Texts that share a template of 100 words and have ``own`` words besides; of ``planted`` of them there is a copy with changed words."""
+    rng = random.Random(seed)
+    template = words(rng, 100).split()
+    rows = []
+    for k in range(n):
+        mine = [f"w{rng.randrange(10**9)}" for _ in range(own)]
+        rows.append([*template[:50], *mine, *template[50:]])
+    for k in range(planted):
+        copy = rows[k].copy()
+        copy[20 + k % 20] = "changed"
+        copy[80 + k % 20] = "again"
+        rows.append(copy)
+    rng.shuffle(rows)
+    return [" ".join(r) for r in rows]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_near_copies_on_a_template(spark, partitions):
+    """Unrelated texts are 0.77 alike through their template, and their copies 0.8 or more."""
+    texts = template_table(260, 60, 14)
+    label = brute_similar(texts)
+    assert 40 <= sum(i != l for i, l in enumerate(label)) <= 70
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    of = {r.doc_id: r.component for r in near_copies.near_copies(df).collect()}
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(of[i], i)
+    assert [first[of[i]] for i in range(len(texts))] == label
+
+
+@pytest.mark.parametrize("size", [1, 2, 4, 5, 9, 35, 100, 3333])
+def test_keys_needed(size):
+    assert near_copies.keys_needed(size, 0.8) == size - -(-4 * size // 5) + 1 and near_copies.keys_needed(0, 0.8) == 0
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    """One trusted doc_id on most rows, with one text or with many, and rows that repeat both."""
+    rng = random.Random(8)
+    good = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(good, f"text {k % 3000}") for k in range(12_000)] + [(1000 + k, words(rng, 20)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in [good, *range(1000, 1500)]], "doc_id long, quality int")
+    seen = []
+    plain = pu_quality.fit
+    monkeypatch.setattr(pu_quality, "fit", lambda p, u, prior, **k: seen.append((len(p), len(u))) or plain(p, u, prior, **k))
+    model = pu_quality.learn(docs, labels, 100, 200)
+    p, u = seen[-1]
+    assert 90 <= p <= 100 and 60 <= u <= 200 and p + u <= 300 and model.weights
+    again = pu_quality.learn(docs.repartition(7), labels, 100, 200)
+    assert all((a == b).all() for a, b in zip(model.weights, again.weights, strict=True))
+
+
+@pytest.fixture(scope="module")
+def long_docs(spark):
+    """A text of 5 MB among short ones."""
+    rng = random.Random(12)
+    some = [words(rng, 200) for _ in range(30)]
+    body = " ".join(some[k % 30] + f" {k}" for k in range(4400))
+    assert len(body.encode()) > 5_000_000
+    return spark.createDataFrame([(0, body, "en", "a", len(body)), *[(k + 1, t, "en", "b", len(t)) for k, t in enumerate(some[:5])]], "doc_id long, text string, lang string, source string, n_chars int").repartition(2)
+
+
+def test_very_long_texts(spark, long_docs):
+    rows = {r.doc_id: r.text for r in long_docs.collect()}
+    size = {i: len(t.split()) for i, t in rows.items()}
+    cut = {r.doc_id: r for r in chunk_dedup.dedup_substrings(long_docs.select("doc_id", "text")).collect()}
+    assert len(cut[0].text) + cut[0].removed_chars == len(rows[0]) and cut[0].removed_chars > 0.8 * len(rows[0])
+    rules = {r.doc_id: r for r in quality_rules.quality_rules(long_docs).collect()}
+    assert {i: r.n_words for i, r in rules.items()} == size and rules[0].base_failed
+    tokens = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(long_docs, BYTES).collect()}
+    packed = packing.digests(packing.pack(long_docs, BYTES)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n - 1 for r in packed} == tokens
+    decoded = {r.doc_id: r.decoded for r in piece_codec.encode(long_docs, PIECES).collect()}
+    assert decoded == {i: " ".join(t.split()) for i, t in rows.items()}
+    dealt = sharding.external_shuffle(long_docs.select("doc_id", "text"), bucket_bytes=1 << 20).collect()
+    assert {r.doc_id: r.text for r in dealt} == rows
+    prints = {r.doc_id: r for r in parse_fingerprints.fingerprint_documents(long_docs).collect()}
+    assert {i: r.n_chars for i, r in prints.items()} == {i: len(t) for i, t in rows.items()}
+    assert {r.doc_id for r in simhash.near_duplicates(long_docs).collect()} == set(rows)
+    assert len({r.component for r in near_copies.near_copies(long_docs).collect()}) == 6
+    model = pu_quality.learn(long_docs, spark.createDataFrame([(i, 1) for i in rows], "doc_id long, quality int"))
+    assert all(0 <= r.score <= 1 for r in pu_quality.score(long_docs, model).collect())
+
+
+def test_very_long_texts_in_stages(spark, long_docs, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    n = long_docs.count()
+    for _, stage in pipeline.STAGES[1:]:
+        out = stage(spark, long_docs, str(tmp_path))
+        assert out.select("doc_id").distinct().count() in (n, n - 5)  # all of a short text may lie in the long one
+    assert pipeline.quality_classifier(spark, long_docs, str(tmp_path)).columns == long_docs.columns

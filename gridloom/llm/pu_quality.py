@@ -9,7 +9,7 @@ where prior is the share of positives in the unlabelled text, estimated from
 the two samples alone (``estimated_prior``); labels of 0 are not read.  When
 the bracket of a batch falls below zero its gradient is turned round, as the
 method asks.  The sample that is fitted is bounded by
-``MOST_POSITIVE`` and ``MOST_UNLABELLED`` and drawn by a hash of doc_id;
+``MOST_POSITIVE`` and ``MOST_UNLABELLED`` and drawn by hashes of doc_id and text;
 scoring is one narrow pass over all documents.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .arrays import blocks, number_spans
 from .common import map_rows, released, text_or_empty, with_package
 
-#: Bounds of the fitted sample (expected rows; the hash draws them within a few per cent).
+#: Bounds of the fitted sample: rows of it that reach the driver are at most their sum.
 MOST_POSITIVE, MOST_UNLABELLED = 12_000, 24_000
 #: A row's label is not learnt from if crc32(doc_id) mod FOLDS is HELD_OUT.
 FOLDS, HELD_OUT = 4, 2
@@ -182,33 +182,44 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = 11) -> Model:
     """A model from ``labels`` (doc_id, quality) and the texts of ``docs``; held-out rows take no part.
 
-    A doc_id with different labels counts as 0; labels without a document and
-    null ids are passed over; without positives or texts the model scores 0.5.
+    At most ``most_positive`` doc_ids of label 1 are trusted, those of the
+    least hashes, each by one of its texts; of all rows some are drawn by a
+    hash of doc_id and text, and of those that repeat both one; in all no more
+    than the sum of the bounds reach the driver, as features.  A doc_id with
+    different labels counts as 0; labels without a document and null ids are
+    passed over; a very long text counts whole and as one.  Without positives
+    or texts the model scores 0.5.
     """
-    drawn = lambda share: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
     usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
     known = labels.where(usable & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    drawn = lambda h, share: F.pmod(h, F.lit(1 << 30)) < int(min(1, share) * (1 << 30))
     good = known.where("quality = 1").count()
     rows = docs.where(usable).count()
     none = Model(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), (), 0.5)
     if not good or not rows:
         return none
-    trusted = known.where((F.col("quality") == 1) & drawn(min(1, most_positive / good))).select("doc_id", F.lit(1).alias("_positive"))
-    texts = text_or_empty(docs.where(usable), "doc_id").join(F.broadcast(trusted), "doc_id", "left")  # at most most_positive ids
-    texts = texts.withColumn("_unlabelled", drawn(min(1, most_unlabelled / rows)).cast("int")).where("_positive = 1 OR _unlabelled = 1")
-    texts = texts.select((F.coalesce("_positive", F.lit(0)) + 2 * F.col("_unlabelled")).cast("long").alias("doc_id"), "text")
+    label = F.xxhash64(F.lit(seed), "doc_id")
+    trusted = known.where((F.col("quality") == 1) & drawn(label, most_positive / good)).orderBy(label, "doc_id").limit(most_positive).select("doc_id", F.lit(1).alias("_positive"))
+    texts = text_or_empty(docs.where(usable), "doc_id").withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    texts = texts.join(F.broadcast(trusted), "doc_id", "left")  # at most most_positive ids
+    texts = texts.withColumn("_drawn", drawn(F.col("_h"), most_unlabelled / rows).cast("int")).where("_positive = 1 OR _drawn = 1")
+    # what a row is drawn as goes with its text as one number: the hash, and the doc_id of a trusted one
+    drawn_as = F.struct(F.when(F.col("_positive") == 1, F.col("doc_id")).alias("trusted"), F.when(F.col("_drawn") == 1, F.col("_h")).alias("unlabelled"), F.col("_h").alias("h"))
 
-    def make():
-        def work(kinds, batch):
-            x = features(batch)
-            return {"kind": pa.array(kinds, pa.int64()), "x": pa.array([r.tobytes() for r in x], pa.binary())}
-
-        return work
+    def run(batches):
+        for b in batches:
+            x = np.concatenate([np.zeros((0, len(FEATURES)), np.float32), *[features(some) for some in blocks(t.as_py() for t in b.column("text"))]])
+            yield pa.RecordBatch.from_arrays([b.column("drawn_as"), pa.array([r.tobytes() for r in x], pa.binary())], names=["drawn_as", "x"])
+        released()
 
-    sample = sorted((r.kind, bytes(r.x)) for r in map_rows(texts, make, "kind long, x binary").collect())
+    said = with_package(texts).select(drawn_as.alias("drawn_as"), "text").mapInArrow(run, "drawn_as struct<trusted:long, unlabelled:long, h:long>, x binary")
+    sides = F.inline(F.array(F.struct(F.lit(1).alias("kind"), F.col("drawn_as.trusted").alias("key")), F.struct(F.lit(2).alias("kind"), F.col("drawn_as.unlabelled").alias("key"))))
+    each = said.select(sides, F.col("drawn_as.h").alias("h"), "x").where("key IS NOT NULL").groupBy("kind", "key").agg(F.min_by("x", F.struct("h", "x")).alias("x"))
+    bounded = each.orderBy("kind", F.xxhash64("key"), "key").limit(most_positive + most_unlabelled)
+    sample = sorted((r.kind, bytes(r.x)) for r in bounded.collect())
     kinds = np.array([k for k, _ in sample])
     x = np.frombuffer(b"".join(b for _, b in sample), np.float32).reshape(-1, len(FEATURES))
-    positive, unlabelled = x[kinds % 2 == 1], x[kinds >= 2]
+    positive, unlabelled = x[kinds == 1], x[kinds == 2]
     if not len(positive) or not len(unlabelled):
         return none
     return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
@@ -218,8 +229,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text), from the text alone.
 
     Null texts count as empty, which are scored like any other; a null doc_id
-    is kept and not held out; repeated rows are scored each; an empty table
-    gives none; other columns are not read.
+    is kept and not held out; repeated rows are scored each; very long texts
+    are scored by all of their words; an empty table gives none; other columns
+    are not read.
     """
 
     def make():
@@ -234,7 +246,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that score at least THRESHOLD, with all their columns, in one pass over them; all rows if ``model`` has no weights, as nothing was learnt."""
+    """The rows of ``docs`` that score at least THRESHOLD, with all their columns, in one pass over them; all rows if ``model`` has no weights, as nothing was learnt.
+
+    Null texts are scored as empty ones, a null doc_id is a row like any
+    other, repeated rows score alike, and an empty table gives none.
+    """
     if not model.weights:
         return docs
 

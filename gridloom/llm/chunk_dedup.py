@@ -224,8 +224,8 @@ def dedup_substrings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     of the earlier ones source_ids names depends on the partitions.  Null and
     empty texts stay as they are; a null doc_id sorts first; documents of one
     doc_id are told apart by their texts; rows that repeat a doc_id and its
-    text are one document and stay alike; an empty table gives none; other
-    columns pass through, but for those called as ADDED.
+    text are one document and stay alike; very long texts are chunked whole;
+    an empty table gives none; other columns pass through, but for those called as ADDED.
     """
     own = docs.drop(*ADDED)
     joined, text = _cut(own, min_chars)

@@ -108,9 +108,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, separator: int = 0)
     Every id of a document, and the separator after it, lies in exactly one
     piece; offsets in a window are gapless from 0.  Null and empty texts are
     the separator alone; repeated rows and null doc_ids are packed as they
-    come; an empty table gives none; other columns are not read.  A
-    sequence_id holds the task's partition, so a task that runs again gives
-    the same rows as long as its input partition is the same.
+    come; very long texts are cut into as many pieces as they need; an empty
+    table gives none; other columns are not read.  A sequence_id holds the
+    task's partition, so a task that runs again gives the same rows as long
+    as its input partition is the same.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

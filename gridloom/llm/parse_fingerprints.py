@@ -116,8 +116,8 @@ def fingerprint_documents(docs: DataFrame, part_bytes: int = PART_BYTES) -> Data
     by a hash of the text; the last row's next is the first).  Null texts
     count as empty; two empty texts have likeness 1, an empty and another one
     0 unless the other is empty too; repeated rows are each other's next; a
-    single row is its own; an empty table gives none; other columns are not
-    read.
+    single row is its own; very long texts are parsed whole; an empty table
+    gives none; other columns are not read.
 
     Rows are dealt to ranges in that order, in which repeated rows are told
     apart by a random number: no doc_id or text is too frequent for a range.

@@ -22,8 +22,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids, decoded) for each row of ``docs``: the ids with begin and end id, and the text decoded from them.
 
     Null and empty texts give the begin and end id and the empty text; a null
-    doc_id is kept; repeated rows give repeated results; an empty table gives
-    none; columns other than doc_id and text are not read.
+    doc_id is kept; repeated rows give repeated results; very long texts are
+    encoded whole, a block of their own; an empty table gives none; columns
+    other than doc_id and text are not read.
     """
 
     def make():

@@ -128,8 +128,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts and verdict for each row of ``docs`` (doc_id, text), in one narrow pass.
 
     Null and empty texts have no words, so base_failed is true and kept false;
-    a null doc_id is kept; repeated rows are measured each; an empty table
-    gives none; other columns are not read.
+    a null doc_id is kept; repeated rows are measured each; very long texts are
+    measured whole, a block of their own; an empty table gives none; other
+    columns are not read.
     """
 
     def make():

@@ -68,8 +68,9 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_by
     a bucket should hold: these are dealt by their place in the input, so the
     same files give the same result.  Equal texts are rows like any other and
     may go to different shards: the law counts rows alone.  Null and empty
-    texts, null doc_ids and repeated rows are kept; an empty table gives none;
-    other columns pass through, but for those called as ADDED.
+    texts, null doc_ids and repeated rows are kept; a very long text may fill
+    more than a bucket and stays whole; an empty table gives none; other
+    columns pass through, but for those called as ADDED.
     """
     own = with_package(docs).drop(*ADDED)
     text = F.coalesce(F.col("text"), F.lit(""))

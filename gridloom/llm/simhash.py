@@ -189,8 +189,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, blocks: int
     reachable over fingerprints that differ in at most ``most`` bits.  Null
     and empty texts have fingerprint zero and link like any other; a null
     doc_id is kept and takes part, but is no component_id unless all of its
-    component's are null; repeated rows are kept; an empty table gives none;
-    other columns are not read.
+    component's are null; repeated rows are kept; very long texts count by all
+    of their shingles; an empty table gives none; other columns are not read.
     """
     all_bits = checkpointed(fingerprints(docs, width))
     distinct = checkpointed(all_bits.groupBy("bits").agg(F.min("doc_id").alias("first_id")))

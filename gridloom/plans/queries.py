@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from ..functions.names import describe, type_class
 from ..operators import export, sink
-from ..operators.edits import EditLog, overlay
+from ..operators.edits import EditError, EditLog, overlay
 from ..operators.ordering import page, sorted_by, sorted_page
 from ..operators.predicates import matching
 from ..sources.local import local_table
 from ..sources.files import numbered
-from ..sources.parquet import file_info, row_count, scan
-from ..sources.recents import most_recent
+from ..sources.parquet import exists, file_info, row_count, scan
+from ..sources.recents import Recents, most_recent
 from ..sources.scratch import scratch
+from ..streaming.follow import follow
 from .view import ViewState
 from .workbook import Workbook
 
@@ -483,3 +484,129 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     said.append(book.toggle_sort("o_orderdate").message)
     book.filter("o_orderstatus", "f").copy_columns(["o_orderkey", "o_custkey"])
     return local_table(spark, [(n, pa.string()) for n in ("loaded", "sorted", "copied")], [(*said, book.message)])
+
+
+# What a workbook says and refuses, beside the rows it has.
+
+
+@query(f"SELECT *, 'Filter error: wildcard inside the text: ''a*b''' AS message FROM {_ORDERS} WHERE o_orderkey % 5 >= 0")
+def filter_error_shows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter text that cannot be read shows all rows, and says so."""
+    book = Workbook.open(spark, f"{sf_dir}/orders.parquet").filter("o_orderpriority", "a*b").search("5-LOW")
+    shown = book.view()
+    return shown.withColumn("message", F.lit(book.message))
+
+
+@query(f"""SELECT * FROM (SELECT 'Filtered by 1 column(s)' AS message, count(*) FILTER (contains(lower(o_orderstatus), 'f')) AS n_rows FROM orders
+  UNION ALL SELECT 'Filtered by 1 column(s) + global search', count(*) FILTER (contains(lower(o_orderstatus), 'f') AND ({' OR '.join(f"contains(lower(CAST({c} AS VARCHAR)), '11')" for c in _ORDER_COLUMNS)})) FROM orders
+  UNION ALL SELECT 'Filtered by global search', count(*) FILTER ({' OR '.join(f"contains(lower(CAST({c} AS VARCHAR)), '11')" for c in _ORDER_COLUMNS)}) FROM orders UNION ALL SELECT 'Ready', count(*) FROM orders)""")
+def filter_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each change of filter or search is a new view of the rows, with its own status."""
+    book = Workbook.open(spark, f"{sf_dir}/orders.parquet")
+    seen = []
+    for name, text, search in (("o_orderstatus", "f", ""), ("o_orderstatus", "F", "11"), ("o_orderstatus", "  ", "11"), ("o_orderstatus", "", " ")):
+        n = book.filter(name, text).search(search).view().count()
+        seen.append((book.message, n))
+    return local_table(spark, [("message", pa.string()), ("n_rows", pa.int64())], seen)
+
+
+@query("""SELECT * FROM (VALUES ('opened', 'mine.parquet', FALSE), ('edited', '*mine.parquet', TRUE), ('saved', 'mine.parquet', FALSE)) AS t(step, title, dirty) WHERE (SELECT count(*) FROM orders) > 0""")
+def dirty_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = f"{scratch(spark, 'titles')}-of/mine.parquet"
+    sink.save(_numbered(spark, sf_dir, "orders"), to, "row_number", layout="file")
+    book = Workbook.open(spark, to)
+    said = [("opened", book.title, book.dirty)]
+    book.edit(1, "o_orderstatus", book.copy_cell(1, "o_orderstatus"))  # an edit that changes nothing is one
+    said.append(("edited", book.title, book.dirty))
+    book.save()
+    said.append(("saved", book.title, book.dirty))
+    return local_table(spark, [("step", pa.string()), ("title", pa.string()), ("dirty", pa.bool_())], said)
+
+
+@query("""SELECT * FROM (SELECT 'row_number' AS name, 'row numbers are read-only' AS refused UNION ALL SELECT 'nope', 'no column ''nope''' UNION ALL SELECT 'o_custkey', '''x'' is no bigint for ''o_custkey'''
+  UNION ALL SELECT 'o_orderstatus', 'no row ' || (count(*) + 1) FROM orders)""")
+def refused_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = Workbook.open(spark, f"{sf_dir}/orders.parquet")
+    n, said = book.info().rows, []
+    for row, name in ((1, "row_number"), (1, "nope"), (1, "o_custkey"), (n + 1, "o_orderstatus")):
+        try:
+            book.edit(row, name, "x")
+        except EditError as e:
+            said.append((name, str(e)))
+    return local_table(spark, [("name", pa.string()), ("refused", pa.string())], said if not book.dirty else [])
+
+
+@query("SELECT column_name, column_type FROM (DESCRIBE SELECT * FROM events) UNION ALL SELECT 'nope', 'unknown'")
+def metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    info = Workbook.open(spark, f"{sf_dir}/events.parquet").info()
+    return local_table(spark, [("column_name", pa.string()), ("column_type", pa.string())], [(n, info.type_of(n)) for n in [*(c for c, _, _ in info.columns), "nope"]])
+
+
+@query(f"SELECT CASE WHEN row_number = 6 THEN 'closed' ELSE o_orderpriority END AS o_orderpriority, o_orderkey, 0 AS left_beside FROM {_ORDERS}")
+def close_with_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing saves what was edited, and leaves nothing beside the file."""
+    folder = scratch(spark, "closed")
+    to = f"{folder}/odd [1] {{name}}, it's.parquet"
+    sink.save(_numbered(spark, sf_dir, "orders"), to, "row_number", layout="file")
+    book = Workbook.open(spark, to)
+    book.edit(6, "o_orderpriority", "closed")
+    book.close(save=True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    beside = [s.getPath().getName() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return scan(spark, to).select("o_orderpriority", "o_orderkey", F.lit(len(beside) - 1).alias("left_beside"))
+
+
+@query(f"SELECT * FROM {_ORDERS} WHERE row_number > 10 AND row_number <= 30")
+def reset_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sort that was taken back shows stored order again."""
+    return ViewState().toggle_sort("o_totalprice").reset_sort().page(10, 20).apply(_numbered(spark, sf_dir, "orders"))
+
+
+@query(f"""SELECT {_joined(['c_name', 'c_acctbal'], "';'")} AS line, 'Copied 6 cells' AS message FROM (SELECT row_number() OVER () AS rn, * FROM customer) WHERE rn IN (3, 4, 77)""")
+def copy_cells_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells without headers, by a delimiter of one's own."""
+    book = Workbook.open(spark, f"{sf_dir}/customer.parquet")
+    out = book.copy_cells([77, 3, 4], ["c_acctbal", "c_name"], delimiter=";").lines()
+    return out.withColumn("message", F.lit(book.message))
+
+
+@query(f"SELECT {_joined(['row_number', *_ORDER_COLUMNS])} AS line, 'Copied 2 rows' AS message FROM {_ORDERS} WHERE row_number IN (9, 21)")
+def copy_rows_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without headers; of numbers that no row has, nothing is copied or counted."""
+    book = Workbook.open(spark, f"{sf_dir}/orders.parquet")
+    out = book.copy_rows([21, 9, 10**12]).lines()
+    return out.withColumn("message", F.lit(book.message))
+
+
+@query("SELECT CAST(coalesce(o_orderstatus, '') AS VARCHAR) AS line FROM orders")
+def copy_columns_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Workbook.open(spark, f"{sf_dir}/orders.parquet").copy_columns(["o_orderstatus"]).lines()
+
+
+@query("""SELECT * FROM (SELECT 0 AS place, 'region.parquet' AS name, count(*) AS n_rows FROM region UNION ALL SELECT 1, 'orders.parquet', count(*) FROM orders UNION ALL SELECT 2, 'nation.parquet', count(*) FROM nation)""")
+def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files as they were opened, the last one first, each once; one that is gone has left the list."""
+    there = lambda p: exists(spark, p)
+    recents = Recents(exists=there)
+    recents.add(f"{sf_dir}/none.parquet")
+    for name in ("orders", "nation", "region", "orders", "region"):
+        Workbook.open(spark, f"{sf_dir}/{name}.parquet", recents)
+    found = []
+    for k in range(len(recents.paths) - 1, -1, -1):
+        try:
+            path = recents.path_at(k)
+        except FileNotFoundError:
+            continue
+        found.append((k, path.rsplit("/", 1)[1], row_count(scan(spark, path)).first()[0]))
+    return local_table(spark, [("place", pa.int32()), ("name", pa.string()), ("n_rows", pa.int64())], found)
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events WHERE contains(lower(event_type), 'cl')")
+def followed_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view's filter over a folder as a stream, whose rows are written as they come."""
+    folder, to = scratch(spark, "grows"), scratch(spark, "followed")
+    _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type").repartition(3).write.parquet(folder)
+    rows = follow(spark, folder, ViewState().filter("event_type", "CL"), files_per_batch=1)
+    started = rows.writeStream.format("parquet").option("path", to).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+    started.awaitTermination()
+    return scan(spark, to)

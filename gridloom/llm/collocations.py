@@ -31,8 +31,10 @@ from .common import checkpointed, forget, released, with_package
 
 #: Words whose order is sent to every task, at most, and bits that tell which others may be frequent.
 TABLE, FILTER_BITS = 1 << 21, 1 << 27
-#: Occurrences of a word per partition that its fragments are dealt to.
-SHARE = 1 << 20
+#: Occurrences of a word per part that its fragments are dealt to, each to a partition of its own.
+SHARE = 1 << 19
+#: Fragments that are mined at a time; more where one pivot has more, up to SHARE.
+CHUNK_ROWS = 1 << 18
 #: Bytes of text whose fragments are combined at a time; distinct words that a task counts or numbers at a time.
 BLOCK, HELD_WORDS = 6 << 20, 500_000
 #: Occurrences of a phrase, its words, phrases reported per language, and percent of its occurrences inside a longer phrase from which it is dropped.
@@ -164,6 +166,19 @@ class _Words(dict):
         return out
 
 
+def _row_keys(columns: Iterable[np.ndarray], base: int) -> np.ndarray:
+    """One number for each row of ``columns`` of numbers below ``base``, equal for equal rows."""
+    key, top = None, 1
+    for c in columns:  # columns become one number; before it could overflow, its values are numbered anew
+        if key is None:
+            key, top = c, base
+            continue
+        if top * base >= 1 << 62:
+            key, top = np.unique(key, return_inverse=True)[1], len(c)
+        key, top = key * base + c, top * base
+    return key
+
+
 def fragment_block(word: np.ndarray, order: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(members, n): distinct fragments as rows of ``2 * longest - 1`` word numbers, 0 for none, the pivot in the middle, and how often each occurs.
 
@@ -189,12 +204,7 @@ def fragment_block(word: np.ndarray, order: np.ndarray, longest: int) -> tuple[n
     used[rows] = 1
     base = int(used.sum()) + 1
     small = np.cumsum(used)[rows] * (rows > 0)  # 0 for none, and the block's own words from 1
-    key, top = np.zeros(len(rows), np.int64), 1
-    for c in small.T:  # columns become one number; before it could overflow, its values are numbered anew
-        if top * base >= 1 << 62:
-            key, top = np.unique(key, return_inverse=True)[1], len(rows)
-        key, top = key * base + c, top * base
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    _, first, n = np.unique(_row_keys(small.T, base), return_index=True, return_counts=True)
     return rows[first], n
 
 
@@ -229,6 +239,85 @@ def fragments(docs: DataFrame, order: _Order, longest: int = LONGEST) -> DataFra
     return found.select("lang", home.alias("home"), shared.alias("shared"), "at", "text", "n")
 
 
+def mine_chunk(rows: pa.Table, least: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, size, n) of the phrases that hold the pivots of ``rows``, all fragments of some pivots, ``least`` times; of shared pivots all.
+
+    A phrase holds its pivot's left or right neighbour, so where a neighbour
+    is too rare beside this pivot, no phrase reaches beyond the pivot there.
+    """
+    words = pc.split_pattern(rows["text"].combine_chunks(), " ")
+    said = words.values.dictionary_encode()
+    ids = said.indices.to_numpy().astype(np.int64) + 1
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    langs = rows["lang"].combine_chunks().dictionary_encode()
+    lang = langs.indices.to_numpy().astype(np.int64)
+    n, at, shared = rows["n"].to_numpy(), rows["at"].to_numpy().astype(np.int64), np.asarray(rows["shared"])
+    pivot = offsets[:-1] + at
+    ids = ids[: offsets[-1]]
+    base = max(len(said.dictionary), len(langs.dictionary)) + 2
+
+    def member(k: int) -> np.ndarray:
+        there = pivot + k
+        inside = (there >= offsets[:-1]) & (there < offsets[1:])
+        return np.where(inside, ids[np.where(inside, there, 0)], 0)
+
+    def sums(some: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first row, place of each row's phrase, occurrences) of the phrases in ``columns`` of the rows ``some``."""
+        _, first, of = np.unique(_row_keys([lang[some], *[c[some] for c in columns]], base), return_index=True, return_inverse=True)
+        return some[first], of, np.bincount(of, n[some], len(first)).astype(np.int64)
+
+    reach = longest - 1
+    members = {k: member(k) for k in range(-reach, reach + 1)}
+    for side in (-1, 1):
+        some = np.flatnonzero(members[side])
+        if len(some):
+            _, of, count = sums(some, [members[0], members[side]])
+            lost = some[(count[of] < least) & ~shared[some]]
+            for k in range(1, reach + 1):
+                members[side * k][lost] = 0
+    names = said.dictionary
+    for i in range(longest):
+        for j in range(longest - i):
+            if not i + j:
+                continue
+            columns = [members[k] for k in range(-i, j + 1)]
+            some = np.flatnonzero((columns[0] > 0) & (columns[-1] > 0))
+            if not len(some):
+                continue
+            first, _, count = sums(some, columns)
+            kept = (count >= least) | shared[first]
+            first, count = first[kept], count[kept]
+            for k in range(0, len(first), 1 << 15):
+                f = first[k : k + (1 << 15)]
+                text = pc.binary_join_element_wise(*[names.take(pa.array(c[f] - 1)) for c in columns], " ")
+                yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang[f])), text, pa.array(np.full(len(f), i + j + 1, np.int32)), pa.array(count[k : k + (1 << 15)])], names=["lang", "phrase", "size", "n"])
+
+
+def mined(routed: DataFrame, least: int, longest: int) -> DataFrame:
+    """(lang, phrase, size, n) of ``routed`` fragments, which lie together by home: sums of whole pivots, or of a partition's part of a shared one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= CHUNK_ROWS and held[0]["home"][0] != batch["home"][-1]:
+                rows = pa.Table.from_batches(held)
+                last = rows["home"].to_numpy()
+                cut = int(np.flatnonzero(last != last[-1])[-1]) + 1  # the last pivot may go on
+                yield from mine_chunk(rows.slice(0, cut), least, longest)
+                held = rows.slice(cut).to_batches()
+                n = rows.num_rows - cut
+        if held:
+            yield from mine_chunk(pa.Table.from_batches(held), least, longest)
+        released()
+
+    return routed.mapInArrow(run, "lang string, phrase string, size int, n long")
+
+
 def _phrase(words: Column, start: Column, size: Column) -> Column:
     return F.array_join(F.slice(words, start, size), " ")
 
@@ -237,14 +326,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     """(lang, phrase, size, n) of all phrases of 1 to ``longest`` words that occur ``least`` times, and (lang, n) of all words; both checkpointed."""
     words = checkpointed(word_counts(docs).where((F.col("n") >= least) | F.col("word").isNull()))
     frequent = words.where("word IS NOT NULL")
-    # every fragment goes once, to its pivot; the sums below stay in that partition
-    routed = fragments(docs, _Order(frequent, table, bits), longest).repartition("home").withColumn("words", F.split("text", " "))
-    spans = [(i, j) for i in range(longest) for j in range(longest) if 1 <= i + j < longest]
-    each = F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in spans]))
-    owned = routed.select("lang", "home", "shared", "at", "words", "n", each).where("i <= at AND j < size(words) - at")
-    mined = owned.select("lang", "home", "shared", _phrase(F.col("words"), F.col("at") - F.col("i") + 1, F.col("i") + F.col("j") + 1).alias("phrase"), (F.col("i") + F.col("j") + 1).alias("size"), "n")
-    local = mined.groupBy("home", "lang", "shared", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("shared") | (F.col("n") >= least))
-    several = local.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    # every fragment goes once, to its pivot, and is mined there
+    routed = fragments(docs, _Order(frequent, table, bits), longest).repartition("home").sortWithinPartitions("home")
+    several = mined(routed, least, longest).groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     out = checkpointed(several.unionByName(frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")))
     totals = checkpointed(words.where("word IS NULL").select("lang", "n"))
     forget(words)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, MapType, StringType, StructField, StructType
 
-from .common import checkpointed, columns_of, split_join, with_package
+from .common import checkpointed, columns_of, forget, split_join, with_package
 
 #: Bytes in a bucket, about; a task holds one bucket and its shuffled copy.
 BUCKET_BYTES = 16 << 20
@@ -75,19 +75,23 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_by
     own = with_package(docs).drop(*ADDED)
     text = F.coalesce(F.col("text"), F.lit(""))
     bytes_ = _row_bytes(own)
-    total = own.agg(F.sum(bytes_)).first()[0] or 0
+    # one pass over the texts tells all sizes: rows and bytes of each scatter hash
+    counted = checkpointed(own.select(F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("scatter"), bytes_.alias("bytes")).groupBy("scatter").agg(F.count("*").alias("copies"), F.sum("bytes").alias("held")))
+    total = counted.agg(F.sum("held")).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_bytes))
     # rows as one column, so that no name of theirs clashes
     ordered = [f"`{f.name.replace('`', '``')}`" for f in own.schema.fields if not f.dataType.simpleString().startswith(("map", "void")) and "map<" not in f.dataType.simpleString()]
     packed = own.select(F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("scatter"), bytes_.alias("bytes"), F.xxhash64(F.lit(seed + 1), *map(F.col, ordered)).alias("order"), F.monotonically_increasing_id().alias("turn"), F.struct(*columns_of(own)).alias("row"))
-    hot = own.select(F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("scatter"), bytes_.alias("bytes")).groupBy("scatter").agg(F.count("*").alias("copies"), F.sum("bytes").alias("held"))
-    hot = checkpointed(hot.where((F.col("copies") > 1) & (F.col("held") > bucket_bytes * HOT_SHARE)).select("scatter", F.lit(True).alias("hot")))
+    hot = checkpointed(counted.where((F.col("copies") > 1) & (F.col("held") > bucket_bytes * HOT_SHARE)).select("scatter", F.lit(True).alias("hot")))
+    bucket = F.pmod("scatter", F.lit(buckets)).cast("long").alias("bucket")
     if hot.isEmpty():
-        mixed = packed.withColumn("bucket", F.pmod("scatter", F.lit(buckets)).cast("long"))
+        mixed = packed.select("*", bucket)
+        sizes = checkpointed(counted.groupBy(bucket).agg(F.sum("copies").alias("n")))
     else:
         told = F.when(F.col("hot"), F.xxhash64("scatter", "turn")).otherwise(F.col("scatter"))
         mixed = split_join(packed, hot, "scatter", "left").withColumn("bucket", F.pmod(told, F.lit(buckets)).cast("long"))
-    sizes = checkpointed(mixed.groupBy("bucket").agg(F.count("*").alias("n")))
+        sizes = checkpointed(mixed.groupBy("bucket").agg(F.count("*").alias("n")))
+    forget(counted)
     done_schema = StructType([StructField("row", own.schema), StructField("bucket", LongType()), StructField("place", LongType()), StructField("before", LongType())])
 
     def shuffle(table: pa.Table) -> pa.Table:

@@ -29,6 +29,8 @@ FLOOR = 3
 SLOTS, EMPTY = 64, 0xFFFF
 #: Bytes of text in a part that is sorted and fingerprinted in one task, about.
 PART_BYTES = 32 << 20
+#: Ranges, at most: beyond it they grow, as a range is sorted with spills and read as a stream.
+MOST_PARTS = 20_000
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -128,7 +130,7 @@ def fingerprint_documents(docs: DataFrame, part_bytes: int = PART_BYTES) -> Data
         raise ValueError("spark.sql.exchange.reuse must be true: all parts of this plan read one shuffle, whose ranges are drawn once")
     own = text_or_empty(with_package(docs), "doc_id")
     size = own.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    parts = max(own.sparkSession.sparkContext.defaultParallelism, -(-int(size) // part_bytes))
+    parts = max(own.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-int(size) // part_bytes)))
     order = (F.asc_nulls_first("doc_id"), F.asc("tie"), F.asc("turn"))
     dealt = own.select("doc_id", F.xxhash64("text").alias("tie"), F.rand(17).alias("turn"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text", F.spark_partition_id().alias("part"))
     ends = dealt.mapInArrow(_ends, "part int, last boolean, doc_id long, text string")

@@ -106,7 +106,7 @@ class Workbook:
     def info(self) -> FileInfo:
         """Name, all rows and columns of the source; filters do not change it."""
         if self._info is None:
-            self._info = file_info(self.source.plain, self.path)
+            self._info = file_info(self.source.plain, self.path, self.source.files.rows if self.source.several else None)
         return self._info
 
     def data(self) -> DataFrame:

@@ -58,5 +58,6 @@ class FileInfo:
         return next((t for n, t, _ in self.columns if n == name), "unknown")
 
 
-def file_info(df: DataFrame, path: str) -> FileInfo:
-    return FileInfo(path, row_count(df).first()[0], [tuple(r) for r in describe(df).collect()])
+def file_info(df: DataFrame, path: str, rows: int | None = None) -> FileInfo:
+    """What is known of ``df`` at ``path``; its ``rows`` are counted unless they are given."""
+    return FileInfo(path, row_count(df).first()[0] if rows is None else rows, [tuple(r) for r in describe(df).collect()])

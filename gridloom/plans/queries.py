@@ -426,9 +426,9 @@ def export_large_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.lines(_large_numbers(spark, sf_dir))
 
 
-@query("SELECT doc_id, lang FROM documents WHERE contains(strip_accents(lower(text)), 'eleve')")
+@query("SELECT doc_id, lang FROM documents WHERE contains(strip_accents(lower(text)), 'reau')")
 def filter_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching(_table(spark, sf_dir, "documents"), [("text", "Élève")], collation="UNICODE_CI_AI").select("doc_id", "lang")
+    return matching(_table(spark, sf_dir, "documents"), [("text", "RÉÂU")], collation="UNICODE_CI_AI").select("doc_id", "lang")
 
 
 _FIRST_WORDS = "(SELECT CAST(row_number() OVER () AS BIGINT) AS row_number, lang, coalesce(nullif(regexp_extract(text, '^[A-Za-zÀ-ÿ]+'), ''), 'none') AS word FROM documents)"

@@ -1044,6 +1044,18 @@ def template_table(n, planted, own, seed=3):
     return [" ".join(r) for r in rows]
 
 
+def test_fingerprints_alone_find_near_copies(spark, monkeypatch):
+    """The bits of the fingerprints are searched among all nodes: without the other keys copies are found all the same."""
+    none = lambda shape: spark.createDataFrame([], shape)
+    monkeypatch.setattr(near_copies, "key_pairs", lambda *_: (none("a long, b long"), none("node long, tag long, size int")))
+    rng, rows = random.Random(11), []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:190], "x", f"y{k}", *words[192:]]))]
+    of = {r.doc_id: r.component for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(of[2 * k] == of[2 * k + 1] for k in range(60)) and len(set(of.values())) == 60
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 16])
 def test_near_copies_on_a_template(spark, partitions):
     """Unrelated texts are 0.77 alike through their template, and their copies 0.8 or more."""

@@ -141,6 +141,28 @@ def test_large_files_are_written_in_stretches(spark, tmp_path, monkeypatch):
     assert stored_ids(spark, str(tmp_path / "whole")) == want
 
 
+def test_one_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task writes, or sorts, all rows of a file: what the tasks wrote are its row groups, in order."""
+    groups = lambda p: pq.ParquetFile(p).num_row_groups
+    one = str(tmp_path / "one.parquet")
+    assert sink.save(spark.range(0, 6000, 1, 4), one, layout="file") == 6000
+    assert groups(one) == 4 and stored_ids(spark, one) == list(range(6000))
+    monkeypatch.setattr(sink, "STRETCH_BYTES", 8_000)
+    book = Workbook.open(spark, one)
+    book.edit(4501, "id", -1)
+    assert book.save() == 6000
+    want = list(range(6000))
+    want[4500] = -1
+    assert os.path.isfile(one) and groups(one) > 1 and stored_ids(spark, one) == want and not leftovers(one)
+    path, to = folder(tmp_path / "d", 12, 30), str(tmp_path / "to.parquet")
+    for most in (1000, 3):  # by stretches, and by a sort
+        monkeypatch.setattr(sink, "MOST_STRETCHES", most)
+        book = Workbook.open(spark, path)
+        book.edit(100, "id", -100)
+        assert book.save_as(to, layout="file") == 360 and (groups(to) == 12 or most == 3)
+        assert stored_ids(spark, to) == [*range(99), -100, *range(100, 360)] and not leftovers(to)
+
+
 def test_too_large_files_are_refused(spark, tmp_path, monkeypatch):
     path = folder(tmp_path / "d", 2, 10)
     one = str(tmp_path / "one.parquet")

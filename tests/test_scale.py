@@ -141,6 +141,15 @@ def test_large_files_are_written_in_stretches(spark, tmp_path, monkeypatch):
     assert stored_ids(spark, str(tmp_path / "whole")) == want
 
 
+def test_a_row_is_compared_with_few_marks(spark):
+    """The part of a row, by halves: of every number of marks, with ties and rows beyond both ends."""
+    for n in (1, 2, 3, 7, 8, 127):
+        marks = sorted([*range(0, 2 * n, 2)][: n - 1] + [0])
+        part = ordering._part_of(F.struct(F.col("id").alias("k"), F.lit(0).alias("t")), [F.struct(F.lit(m).cast("long").alias("k"), F.lit(0).alias("t")) for m in marks])
+        got = {r.id: r.part for r in spark.range(-2, 2 * n + 2, 1, 1).select("id", part.alias("part")).collect()}
+        assert got == {k: sum(m <= k for m in marks) for k in got}
+
+
 def test_one_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     """No task writes, or sorts, all rows of a file: what the tasks wrote are its row groups, in order."""
     groups = lambda p: pq.ParquetFile(p).num_row_groups
